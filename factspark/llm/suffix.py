@@ -48,11 +48,12 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         return data, offs, np.zeros(len(offs), np.int64), none, none, none.astype(np.uint64), none.astype(np.uint32)
     at = np.arange(n - GRAM + 1)
     name = span_hashes(data, at, at + GRAM)
-    # place in the low bits: the leftmost of equal hashes is the sample
-    marked = (name & np.uint64(0xFFFFFFFFFFFF0000)) | (at & 0xFFFF).astype(np.uint64)
+    # place in the text in the low bits: the leftmost of equal hashes is the sample, whatever stands around the text
+    place = (at - np.repeat(offs[:-1], np.diff(offs))[: len(at)]) & 0xFFFF
+    marked = (name & np.uint64(0xFFFFFFFFFFFF0000)) | place.astype(np.uint64)
     least = _least(marked, _WINDOW)
     window = np.arange(len(least))
-    sample = window + ((least & np.uint64(0xFFFF)).astype(np.int64) - window) % 65536
+    sample = window + ((least & np.uint64(0xFFFF)).astype(np.int64) - place[: len(least)]) % 65536
     valid = np.zeros(len(least) + 1, np.int64)
     has = last >= offs[:-1]
     np.add.at(valid, offs[:-1][has], 1)
