@@ -24,8 +24,7 @@ from factspark.llm.text import chunks
 from factspark.session import partitions
 
 #: Hashes that a task gathers before it sends them on.
-RUN_KEYS = 1_500_000
-BUCKETS_PER_PARTITION = 3
+RUN_KEYS = 3_000_000
 REPEATED, VARIED = 1, 2
 MARKS = "array<struct<run:long,bucket:int,payload:binary>>"
 
@@ -197,9 +196,9 @@ def with_marks(docs: DataFrame, extract: Extract, by_row: bool, source: DataFram
     ``source``: where the pieces are taken from, if not from the documents as they are; it has id, tag, text and what ``extract`` reads.
     """
     n = partitions(docs.sparkSession)
-    buckets = n * BUCKETS_PER_PARTITION
+    buckets = bucket_count(docs)
     sent = (docs if source is None else source).mapInArrow(_sender(extract, buckets, by_row), "bucket int, run long, ids binary, tags binary, counts binary, keys binary, seconds binary")
-    told = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(by_row), "id long, tag int, run long, bucket int, payload binary")
+    told = sent.repartitionById(n, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))).mapInArrow(_judge(by_row), "id long, tag int, run long, bucket int, payload binary")
     marks = told.groupBy("id", "tag").agg(F.collect_list(F.struct("run", "bucket", "payload")).alias("marks"))
     return docs.join(marks, ["id", "tag"], "left")
 
@@ -227,4 +226,5 @@ def codes(marks: list | None, keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return partitions(docs.sparkSession) * BUCKETS_PER_PARTITION
+    """One for each shuffle partition, which is its task."""
+    return partitions(docs.sparkSession)
