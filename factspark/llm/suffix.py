@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.llm.first_seen import REPEATED, VARIED, bucket_count, codes, tagged, with_marks
 from factspark.llm.frames import documents, public_id
-from factspark.llm.text import byte_blob, chunks, mix, span_hashes
+from factspark.llm.text import byte_blob, chunks, gram_hashes, mix, span_hashes
 
 LENGTH, GRAM = 50, 28
 _WINDOW = LENGTH - GRAM + 1
@@ -46,10 +47,9 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if n < LENGTH or (last < offs[:-1]).all():
         none = np.zeros(0, np.int64)
         return data, offs, np.zeros(len(offs), np.int64), none, none, none.astype(np.uint64), none.astype(np.uint32)
-    at = np.arange(n - GRAM + 1)
-    name = span_hashes(data, at, at + GRAM)
+    name = gram_hashes(data, GRAM)
     # place in the text in the low bits: the leftmost of equal hashes is the sample, whatever stands around the text
-    place = (at - np.repeat(offs[:-1], np.diff(offs))[: len(at)]) & 0xFFFF
+    place = (np.arange(len(name)) - np.repeat(offs[:-1], np.diff(offs))[: len(name)]) & 0xFFFF
     marked = (name & np.uint64(0xFFFFFFFFFFFF0000)) | place.astype(np.uint64)
     least = _least(marked, _WINDOW)
     window = np.arange(len(least))
@@ -75,8 +75,8 @@ def _of_segments(batch: pa.RecordBatch):
     return at, name, whole
 
 
-def _open_windows(batch: pa.RecordBatch, verdicts: list[np.ndarray] | None, buckets: int):
-    """The single windows of segments whose sample stands in segments of several kinds: (bytes, offsets, segments..., windows, their offsets)."""
+def _open_windows(batch: pa.RecordBatch, buckets: int):
+    """The single windows of segments whose sample stands in segments of several kinds: (bytes, text offsets, first and end window of each segment, verdicts, windows, their offsets)."""
     data, offs, at, begin, end, name, whole = segments(batch["text"])
     told = np.zeros(len(begin), np.uint8)
     for k, marks in enumerate(batch["marks"].to_pylist()):
@@ -95,39 +95,48 @@ def remove_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = with_marks(docs, _of_segments, by_row=False)
 
     def windows_of(batch: pa.RecordBatch):
-        data, _, _, _, _, windows, at = _open_windows(batch, None, buckets)
+        data, _, _, _, _, windows, at = _open_windows(batch, buckets)
         return at, span_hashes(data, windows, windows + LENGTH), None
 
-    second = with_marks(first.withColumnRenamed("marks", "before"), windows_of, by_row=False, source=first)
+    second = with_marks(first.withColumnRenamed("marks", "before"), windows_of, by_row=False, source=first.where("marks is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["text"]):
                 part = b.slice(i, j - i)
-                plain = pa.RecordBatch.from_arrays([part["text"], part["before"]], ["text", "marks"])
-                data, offs, begin, end, told, windows, at = _open_windows(plain, None, buckets)
-                cover = np.zeros(len(data) + 1, np.int32)
-                gone = np.flatnonzero(told == REPEATED)
-                np.add.at(cover, begin[gone], 1)
-                np.add.at(cover, end[gone] - 1 + LENGTH, -1)
-                if len(windows):
-                    keys = span_hashes(data, windows, windows + LENGTH)
-                    for k, marks in enumerate(part["marks"].to_pylist()):
-                        if marks:
-                            w = windows[at[k] : at[k + 1]][codes(marks, keys[at[k] : at[k + 1]], buckets) > 0]
-                            np.add.at(cover, w, 1)
-                            np.add.at(cover, w + LENGTH, -1)
-                drop = np.cumsum(cover)[:-1] > 0
-                rows = []
-                for k in range(j - i):
-                    x, y = offs[k], offs[k + 1] - 1
-                    d = drop[x:y]
-                    removed = int(d.sum())
-                    kept = (data[x:y][~d] if removed else data[x:y]).tobytes()
-                    spans = int(d[:1].sum() + (d[1:] & ~d[:-1]).sum()) if removed else 0
-                    rows.append((int(y - x), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part["id"], *(pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                told = part["before"].is_valid()
+                for some in (part.filter(told), part.filter(pc.invert(told))):  # a text without a verdict stays as it is
+                    if len(some):
+                        yield cleaned(some)
+
+    def cleaned(part: pa.RecordBatch) -> pa.RecordBatch:
+        if part["before"].null_count:
+            data, offs = byte_blob(part["text"], "\n")
+            drop = None
+        else:
+            plain = pa.RecordBatch.from_arrays([part["text"], part["before"]], ["text", "marks"])
+            data, offs, begin, end, told, windows, at = _open_windows(plain, buckets)
+            cover = np.zeros(len(data) + 1, np.int32)
+            gone = np.flatnonzero(told == REPEATED)
+            np.add.at(cover, begin[gone], 1)
+            np.add.at(cover, end[gone] - 1 + LENGTH, -1)
+            if len(windows):
+                keys = span_hashes(data, windows, windows + LENGTH)
+                for k, marks in enumerate(part["marks"].to_pylist()):
+                    if marks:
+                        w = windows[at[k] : at[k + 1]][codes(marks, keys[at[k] : at[k + 1]], buckets) > 0]
+                        np.add.at(cover, w, 1)
+                        np.add.at(cover, w + LENGTH, -1)
+            drop = np.cumsum(cover)[:-1] > 0
+        rows = []
+        for x, y in zip(offs[:-1].tolist(), (offs[1:] - 1).tolist(), strict=True):
+            d = drop[x:y] if drop is not None else None
+            removed = int(d.sum()) if d is not None else 0
+            kept = (data[x:y][~d] if removed else data[x:y]).tobytes()
+            spans = int(d[:1].sum() + (d[1:] & ~d[:-1]).sum()) if removed else 0
+            rows.append((y - x, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([part["id"], *(pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = second.select("id", "text", "before", "marks").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(public_id().alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

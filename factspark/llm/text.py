@@ -65,6 +65,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` bytes at each place that has as many; only a multiplication deep, and not that of ``span_hashes``."""
+    up, down = _powers(len(data) + 1)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
+    x = total[width:] - total[: len(total) - width]
+    x *= down[: len(x)]
+    x ^= x >> U64(29)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(32)
+    return x
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``limit`` bytes together, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
