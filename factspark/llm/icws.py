@@ -10,9 +10,10 @@ keeps the element with the least a = c / (y exp(r)), y = exp(r (t - beta)), t =
 chance of their weighted Jaccard similarity. Bands of samples are joined in Spark, and pairs are verified by their exact
 weighted Jaccard similarity.
 
-Texts with the same words are one text, whose least id stands for it. In a band bucket every text is held against the least one; then, as
-long as texts of a bucket lie in different components, against the next, until the pairs left between components are fewer than ``PAIRS_A_TEXT`` a
-text and are all verified. So every pair of a bucket is either verified or within one component.
+Texts with the same words are one text, whose least id stands for it. In a band bucket every text is held against the least one. Texts
+that then share a bucket with a text of another component get longer and more bands; in their buckets every text is held against the
+least one, the next, and so on, until the pairs left between components are fewer than ``PAIRS_A_TEXT`` a text and are all verified. So a
+bucket of n texts never makes more than n pairs at once, and every pair of a sharp bucket is either verified or within one component.
 
 A text without a word (or null) is a class of its own. Rows with the same id are one document. A null id takes no part: its class is null.
 """
@@ -32,17 +33,22 @@ from pyspark.sql import functions as F
 from factspark.llm.frames import NO_ID, documents, public_id
 from factspark.llm.graph import components
 from factspark.llm.text import chunks, mix, numbered, segment_min, shingles_of_words, word_hashes
-from factspark.session import partitions, shared_dir
+from factspark.session import shared_dir
 
 THRESHOLD = 0.8
-BANDS, ROWS = 14, 3  # a pair at 0.8 is missed with a probability of 4e-5
+BANDS, ROWS = 30, 6  # a pair at 0.8 is missed with a probability of 1e-4, one at 0.85 of 7e-7
 FEATURE_BITS, SLICE_BITS = 20, 16
 LEVELS, LEVEL_STEP = 16, 1 / 12
-PAIRS_A_TEXT = 4
+#: For texts that share a bucket and lie in different components: as sharp as is needed to tell 0.8 from 0.6; one at 0.8 is missed with 8e-4.
+SHARP_BANDS, SHARP_ROWS = 250, 16
+PAIRS_A_TEXT = 2
+#: Ids that may be broadcast: some 10 MB.
+BROADCAST_IDS = 250_000
 _DRAWS = 1 << 16
-_EMPTY = (1 << 64) - 1
+_EMPTY = (1 << 32) - 1
+_CODE_BITS = 20  # ranks of a; 12 bits of the element's hash go below
 _RNG = np.random.Generator(np.random.PCG64(4711))
-_SALTS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = _RNG.integers(0, 1 << 31, (BANDS * ROWS + SHARP_BANDS * SHARP_ROWS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 @cache
@@ -52,7 +58,7 @@ def _table() -> np.ndarray:
     r, c, beta = rng.gamma(2.0, 1.0, _DRAWS), rng.gamma(2.0, 1.0, _DRAWS), rng.random(_DRAWS)
     t = np.floor((np.arange(LEVELS) * LEVEL_STEP)[:, None] / r + beta)
     log_a = np.log(c) - r * (t - beta) - r
-    return (np.unique(log_a, return_inverse=True)[1].reshape(-1).astype(np.uint64)) << np.uint64(44)
+    return np.unique(log_a, return_inverse=True)[1].reshape(-1).astype(np.uint32) << np.uint32(32 - _CODE_BITS)
 
 
 def _feature(shingles: np.ndarray) -> np.ndarray:
@@ -105,19 +111,23 @@ def _levels(df: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.rint(0.5 * np.log(idf) / LEVEL_STEP), 0, LEVELS - 1).astype(np.uint8)
 
 
-def band_hashes(words: np.ndarray, offs: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """One row of ``BANDS`` hashes for each text; 0 for a text without a word."""
+def band_hashes(words: np.ndarray, offs: np.ndarray, levels: np.ndarray, sharp: bool = False) -> np.ndarray:
+    """One row of ``BANDS`` (or ``SHARP_BANDS``) hashes for each text; 0 for a text without a word."""
+    bands, rows, before = (SHARP_BANDS, SHARP_ROWS, BANDS * ROWS) if sharp else (BANDS, ROWS, 0)
     value, feature, own = elements(words, offs)
     bounds = np.searchsorted(own, np.arange(len(offs)))
-    base = levels[feature].astype(np.int64) * _DRAWS
-    low = value & np.uint64((1 << 44) - 1)
-    table = _table()
-    out = np.empty((len(offs) - 1, BANDS), np.uint64)
-    for band in range(BANDS):
+    base = levels[feature].astype(np.uint32) * np.uint32(_DRAWS)
+    seed = (value >> np.uint64(32)).astype(np.uint32)
+    low = (value & np.uint64((1 << (32 - _CODE_BITS)) - 1)).astype(np.uint32)
+    table, at = _table(), np.empty_like(seed)
+    out = np.empty((len(offs) - 1, bands), np.uint64)
+    for band in range(bands):
         folded = np.full(len(offs) - 1, band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            draw = ((value ^ _SALTS[k, 0]) * _SALTS[k, 1]) >> np.uint64(48)
-            least = segment_min(table[base + draw.astype(np.int64)] | low, bounds, _EMPTY)
+        for k in range(before + band * rows, before + (band + 1) * rows):
+            np.multiply(seed ^ _SALTS[k, 0], _SALTS[k, 1], out=at)
+            np.right_shift(at, 16, out=at)
+            np.add(at, base, out=at)
+            least = segment_min(table.take(at) | low, bounds, _EMPTY)
             folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + least)
         out[:, band] = folded | np.uint64(1)
     out[np.diff(bounds) == 0] = 0
@@ -138,35 +148,65 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, levels: np.ndarray) -> np.
     return np.divide(both, whole, out=np.zeros(n), where=whole > 0)
 
 
-def _signed(docs: DataFrame, levels) -> DataFrame:
+def _signed(docs: DataFrame, levels, sharp: bool = False) -> DataFrame:
+    """(id, digest, bands) of each row."""
+    width = SHARP_BANDS if sharp else BANDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["text"]):
                 words, offs = word_hashes(b["text"][i:j])
-                bands = band_hashes(words, offs, levels.value)
+                bands = band_hashes(words, offs, levels.value, sharp)
                 raw = words.tobytes()
                 digests = [hashlib.md5(raw[8 * x : 8 * y]).digest() if y > x else None for x, y in zip(offs[:-1], offs[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * width), pa.array(bands.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b["id"][i:j], pa.array(digests, pa.binary()), lists], ["id", "digest", "bands"])
 
     return docs.mapInArrow(run, "id long, digest binary, bands array<long>")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of the ids, which are broadcast if they are few."""
+    ids = ids.select("id").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, levels, threshold: float) -> DataFrame:
     """Of the pairs (a, b) those that are similar enough."""
-    n = partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["tb"]):
-                good = weighted_jaccard(b["ta"][i:j], b["tb"][i:j], levels.value) >= threshold
-                yield pa.RecordBatch.from_arrays([b["a"][i:j].filter(pa.array(good)), b["b"][i:j].filter(pa.array(good))], ["a", "b"])
+                good = pa.array(weighted_jaccard(b["ta"][i:j], b["tb"][i:j], levels.value) >= threshold)
+                yield pa.RecordBatch.from_arrays([b["a"][i:j].filter(good), b["b"][i:j].filter(good)], ["a", "b"])
 
-    left = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    texts = _only(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _members(texts: DataFrame) -> DataFrame:
+    """(band, rep) of the buckets that hold two texts or more."""
+    banded = texts.select("rep", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return banded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, rep, label) in the buckets that hold texts of two components or more."""
+    placed = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    return placed.join(mixed, "band")
+
+
+def _star(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of each text with the least one of its bucket, unless they have one label; the heads)."""
+    head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h"))
+    pairs = placed.join(head, "band").where("rep <> h.rep and label <> h.label").select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    return pairs, head.select("band", F.col("h.rep").alias("rep"))
+
+
 def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_members, kept): the class is named by its least id, whose document is the one to keep."""
     spark = df.sparkSession
@@ -175,40 +215,32 @@ def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col:
     levels = spark.sparkContext.broadcast(weight_levels(docs))
     signed = _signed(docs, levels).checkpoint()
     texts = signed.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
-    banded = texts.select("rep", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = banded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
 
-    edges, labels, heads, tested = None, None, None, None
+    members = _members(texts)
+    tested = _star(members.withColumn("label", F.col("rep")))[0].checkpoint()
+    edges = _verified(tested, docs, levels, threshold).checkpoint()
+    labels = components(edges)
+
+    unsure = _placed(members, labels).select(F.col("rep").alias("id")).distinct().checkpoint()
+    sharp = _signed(_only(docs, unsure), levels, sharp=True).groupBy("id").agg(F.first("bands").alias("bands")).select(F.col("id").alias("rep"), "bands")
+    members = _members(sharp)
+    limit = PAIRS_A_TEXT * max(1, signed.count())
     while True:
-        placed = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, members["rep"] == labels["id"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-        if heads is not None:
-            placed = placed.join(heads, ["band", "rep"], "left_anti")
-        placed = placed.checkpoint()
-        if labels is not None:
-            by_label = placed.groupBy("band", "label").agg(F.count("*").alias("c"))
-            split = by_label.groupBy("band").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0").checkpoint()
-            left = split.agg(F.sum("open").alias("n")).first()["n"] or 0
-            if not left:
-                break
-            placed = placed.join(split.select("band"), "band")
-        final = labels is not None and left <= PAIRS_A_TEXT * texts.count()
-        if final:
+        placed = _placed(members, labels).checkpoint()
+        counted = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
+        left = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
+        if not left:
+            break
+        if final := left <= limit:
             other = placed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
-            pairs = placed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b")
+            pairs = placed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
         else:
-            head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h"))
-            pairs = placed.join(head, "band").where("rep <> h.rep and (label <> h.label)").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b"))
-            new = head.select("band", F.col("h.rep").alias("rep"))
-            heads = new if heads is None else heads.unionByName(new)
-            heads = heads.checkpoint()
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            pairs, heads = _star(placed)
+            members = members.join(heads, ["band", "rep"], "left_anti").checkpoint()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
+        tested = tested.unionByName(pairs)
         found = _verified(pairs, docs, levels, threshold).checkpoint()
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         labels = components(edges)
         if final:
             break
