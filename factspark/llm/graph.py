@@ -13,6 +13,14 @@ def _size(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+#: Rows for which a task of these small tables is worth its files.
+ROWS_A_TASK = 20_000
+
+
+def tasks_for(rows: int) -> int:
+    return 1 + rows // ROWS_A_TASK
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of each id that has an edge (a, b); the label is the least id of the component.
 
@@ -20,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``checkpoint``. The rounds grow with the logarithm of the longest path.
     """
     shared_dir(edges.sparkSession)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    tasks = tasks_for(edges.count())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(tasks).checkpoint()
     seen = _size(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+        now = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(tasks).checkpoint()
         new = _size(now)
         if new == seen:
             break

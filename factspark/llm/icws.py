@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.llm.frames import NO_ID, documents, public_id
-from factspark.llm.graph import components
+from factspark.llm.graph import components, tasks_for
 from factspark.llm.text import chunks, mix, numbered, segment_min, shingles_of_words, word_hashes
 from factspark.session import shared_dir
 
@@ -41,7 +41,7 @@ FEATURE_BITS, SLICE_BITS = 20, 16
 LEVELS, LEVEL_STEP = 16, 1 / 12
 #: For texts that share a bucket and lie in different components: as sharp as is needed to tell 0.8 from 0.6; one at 0.8 is missed with 8e-4.
 SHARP_BANDS, SHARP_ROWS = 250, 16
-PAIRS_A_TEXT = 2
+PAIRS_A_TEXT = 16
 #: Ids that may be broadcast: some 10 MB.
 BROADCAST_IDS = 250_000
 _DRAWS = 1 << 16
@@ -216,30 +216,31 @@ def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col:
     signed = _signed(docs, levels).checkpoint()
     texts = signed.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
 
+    n = signed.count()
+    tasks = tasks_for(n)  # of tables with a few rows for each text that has a near copy
     members = _members(texts)
-    tested = _star(members.withColumn("label", F.col("rep")))[0].checkpoint()
-    edges = _verified(tested, docs, levels, threshold).checkpoint()
+    tested = _star(members.withColumn("label", F.col("rep")))[0].coalesce(tasks).checkpoint()
+    edges = _verified(tested, docs, levels, threshold).coalesce(2 * tasks).checkpoint()
     labels = components(edges)
 
-    unsure = _placed(members, labels).select(F.col("rep").alias("id")).distinct().checkpoint()
+    unsure = _placed(members, labels).select(F.col("rep").alias("id")).distinct().coalesce(tasks).checkpoint()
     sharp = _signed(_only(docs, unsure), levels, sharp=True).groupBy("id").agg(F.first("bands").alias("bands")).select(F.col("id").alias("rep"), "bands")
     members = _members(sharp)
-    limit = PAIRS_A_TEXT * max(1, signed.count())
     while True:
-        placed = _placed(members, labels).checkpoint()
+        placed = _placed(members, labels).coalesce(2 * tasks).checkpoint()
         counted = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
         left = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
         if not left:
             break
-        if final := left <= limit:
+        if final := left <= PAIRS_A_TEXT * n:
             other = placed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
             pairs = placed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
         else:
             pairs, heads = _star(placed)
-            members = members.join(heads, ["band", "rep"], "left_anti").checkpoint()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
+            members = members.join(heads, ["band", "rep"], "left_anti").coalesce(2 * tasks).checkpoint()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
         tested = tested.unionByName(pairs)
-        found = _verified(pairs, docs, levels, threshold).checkpoint()
+        found = _verified(pairs, docs, levels, threshold).coalesce(2 * tasks).checkpoint()
         edges = edges.unionByName(found)
         labels = components(edges)
         if final:
