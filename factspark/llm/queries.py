@@ -82,8 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The others can't be put in SQL, or not over whole tables; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
     "op2_decontamination": r"""
-with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w from documents),
-     b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w from benchmark),
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+     b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
      k as (select item_id, least(len(w), 5) as n, w from b where len(w) > 0),
      i as (select distinct item_id, n as width, array_to_string(w[p : p + n - 1], ' ') as s from (select item_id, n, w, unnest(range(1, len(w) - n + 2)) as p from k)),
      m as (select item_id, width, count(*) as n_shingles from i group by all),
