@@ -28,6 +28,8 @@ DIMENSIONS = 1 << 16
 PRIOR_TRIGRAMS = 40.0
 ROUNDS, STEP, DECAY = 150, 0.5, 1e-5
 KEEP_AT = 0.5
+#: The least bias, in favour of keeping.
+FLOOR = 0.3
 
 LABELLERS = ("symbols", "capitals", "tables", "function_words", "sentences", "repetition", "word_length", "marks", "echo")
 _SPACE, _UPPER, _LOWER, _HIGH, _DIGIT, _STOP, _COMMON = (np.zeros(256, bool) for _ in range(7))
@@ -193,7 +195,7 @@ def fit_linear(rows: list[tuple[bytes, bytes, float, float]]) -> tuple[np.ndarra
         bias_square += error.sum() ** 2
         weights -= STEP * 4 * slope / np.sqrt(squares)
         bias -= STEP * 0.2 * error.sum() / np.sqrt(bias_square)
-    return weights, max(bias, 0.5)
+    return weights, max(bias, FLOOR)
 
 
 class Model:
