@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels, threshold: float) -> Da
                 good = pa.array(weighted_jaccard(b["ta"][i:j], b["tb"][i:j], levels.value) >= threshold)
                 yield pa.RecordBatch.from_arrays([b["a"][i:j].filter(good), b["b"][i:j].filter(good)], ["a", "b"])
 
-    texts = _only(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    texts = _only(docs, pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()))
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long").distinct()
