@@ -23,3 +23,7 @@ class UnknownTemporary(KeyError):
 
 class QueueFull(RuntimeError):
     """The ingress holds as many intents as it may; the intent is given back."""
+
+
+class LeaseTaken(RuntimeError):
+    """Another writer holds the lease."""

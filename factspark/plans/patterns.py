@@ -31,17 +31,22 @@ def ordered(patterns: list[Pattern]) -> list[int]:
     return out
 
 
-def match(facts: DataFrame, pattern: Pattern, k: int) -> DataFrame:
-    """The facts of one pattern: a column for each variable, and ``_slot{k}``, ``_rid{k}``."""
-    condition, columns = F.lit(True), {}
+def match(facts: DataFrame, pattern: Pattern, k: int, probe: list[str] | None = None) -> DataFrame:
+    """The facts of one pattern: a column for each variable, and ``_slot{k}``, ``_rid{k}``.
+
+    With ``probe``, the variables bound before, a fact whose repeated unbound variable disagrees stays, with ``_ok`` false.
+    """
+    condition, columns, agree = F.lit(True), {}, F.lit(True)
     for term, column, compared in ((pattern.p, predicate(F.col("p")), None), (pattern.s, F.col("s"), F.col("s")), (pattern.o, F.col("o"), F.col("o"))):
         if not isinstance(term, Variable):
             condition = condition & (F.col("p") == term.name if compared is None else is_constant(compared, term))
+        elif term.name in columns and probe is not None and term.name not in probe:
+            agree = agree & (columns[term.name] == column)
         elif term.name in columns:
             condition = condition & (columns[term.name] == column)
         else:
             columns[term.name] = column
-    return facts.where(condition).select(*[c.alias(v) for v, c in columns.items()], F.col("slot").alias(f"_slot{k}"), F.col("rid").alias(f"_rid{k}"))
+    return facts.where(condition).select(*[c.alias(v) for v, c in columns.items()], F.col("slot").alias(f"_slot{k}"), F.col("rid").alias(f"_rid{k}"), *([] if probe is None else [agree.alias("_ok")]))
 
 
 def _roles(patterns: list[Pattern]) -> None:
@@ -92,15 +97,20 @@ def in_order(bindings: DataFrame) -> DataFrame:
     return bindings.orderBy(*keys) if keys else bindings
 
 
-def metrics(facts: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """(position, pattern, candidates, emitted) of each join step: facts that agree with constants and bound variables; bindings made."""
+def metrics(facts: DataFrame, patterns: list[Pattern], optimize: bool = True) -> DataFrame:
+    """(position, pattern, candidates, emitted) of each join step, in order: facts that agree with constants and bound variables, for every
+    binding before; and bindings made, which a variable repeated in the pattern may make fewer."""
     spark, frame, names, rows = facts.sparkSession, None, [], None
-    for k in ordered(patterns):
+    for step, k in enumerate(ordered(patterns) if optimize else range(len(patterns))):
         pattern = patterns[k]
-        new = match(facts, pattern, k)
+        new = match(facts, pattern, k, names)
         shared = [v for v in pattern.variables() if v in names]
         frame = new if frame is None else frame.join(new, shared) if shared else frame.crossJoin(new)
-        names += [v for v in pattern.variables() if v not in names]
-        row = frame.agg(F.count("*").alias("emitted")).select(F.lit(k).alias("position"), F.lit(pattern.key()).alias("pattern"), F.col("emitted").alias("candidates"), "emitted")
+        row = frame.agg(F.count("*").alias("candidates"), F.count_if("_ok").alias("emitted"))
+        row = row.select(F.lit(step).alias("step"), F.lit(k).alias("position"), F.lit(pattern.key()).alias("pattern"), "candidates", "emitted")
         rows = row if rows is None else rows.unionByName(row)
-    return rows if rows is not None else spark.range(0).select(F.lit(0).alias("position"), F.lit("").alias("pattern"), F.col("id").alias("candidates"), F.col("id").alias("emitted"))
+        frame = frame.where("_ok").drop("_ok")
+        names += [v for v in pattern.variables() if v not in names]
+    if rows is None:
+        return spark.createDataFrame([], "position int, pattern string, candidates long, emitted long")
+    return rows.orderBy("step").drop("step")

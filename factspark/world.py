@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factspark.functions.atoms import ATOM, rendered, row_of, value_of
 from factspark.operators import stack
-from factspark.plans.patterns import Options, in_order, query
+from factspark.plans.patterns import Options, in_order, match, metrics, query
 from factspark.terms import Entity, Fact, Literal, Pattern, Predicate, Symbol, Variable
 
 LOG = f"version long, rid long, kind string, slot string, s {ATOM}, p string, o {ATOM}"
@@ -21,17 +21,19 @@ def op_row(version: int, rid: int, kind: str, slot: str, fact: Fact | None) -> t
 
 
 class World:
-    """An immutable version; its DataFrames are those of the log up to it."""
+    """An immutable version; its DataFrames are those of the log up to it. Where ``resumed`` is given (a checkpoint's stacks and newer ops),
+    heads and stacks come from it, and only histories and counts of records from the log."""
 
-    def __init__(self, spark: SparkSession, log: DataFrame, version: int, digest: str, next_entity: int):
+    def __init__(self, spark: SparkSession, log: DataFrame, version: int, digest: str, next_entity: int, resumed: DataFrame | None = None):
         self.spark, self.version, self.digest, self.next_entity = spark, version, digest, next_entity
         self.log = log.where(F.col("version") <= version)
+        self.short = self.log if resumed is None else resumed
         self._active: DataFrame | None = None
 
     @property
     def active(self) -> DataFrame:
         if self._active is None:
-            self._active = stack.active(self.log).select("slot", "rid", "s", "p", "o")
+            self._active = stack.active(self.short).select("slot", "rid", "s", "p", "o")
         return self._active
 
     def query(self, patterns: list[Pattern], options: Options = Options()) -> DataFrame:
@@ -43,11 +45,11 @@ class World:
         return [{k: (list(v) if k == "provenance" else value_of(v)) for k, v in r.asDict(recursive=False).items() if k != "_row"} for r in rows]
 
     def resolve(self, slot: str) -> Fact | None:
-        r = self.active.where(F.col("slot") == slot).first()
+        r = stack.active(self.short.where(F.col("slot") == slot)).first()
         return None if r is None else Fact(value_of(r["s"]), Predicate(r["p"]), value_of(r["o"]))
 
     def definitions(self, slot: str) -> list[Fact]:
-        rows = stack.visible(self.log.where(F.col("slot") == slot)).orderBy(F.desc("depth")).collect()
+        rows = stack.visible(self.short.where(F.col("slot") == slot)).orderBy(F.desc("depth")).collect()
         return [Fact(value_of(r["s"]), Predicate(r["p"]), value_of(r["o"])) for r in rows]
 
     def history(self, slot: str) -> DataFrame:
@@ -84,6 +86,42 @@ class World:
             out = out.join(names, out[v]["ent"] == F.col("_ent"), "left").withColumn(v, rendered(F.col(v), F.col("_name"))).drop("_ent", "_name")
         return out
 
+    def count(self, pattern: Pattern) -> int:
+        """The active facts that a pattern matches."""
+        return match(self.active, pattern, 0).count()
+
+    def slots(self, pattern: Pattern) -> DataFrame:
+        """The slots whose head a pattern matches, in order."""
+        return match(self.active, pattern, 0).select(F.col("_slot0").alias("slot")).orderBy("slot")
+
+    def explain(self, patterns: list[Pattern], options: Options = Options()) -> dict:
+        """The order of joins up to the first step without bindings, candidates and bindings of each pattern, and the number of rows."""
+        steps = metrics(self.active, patterns, options.optimize).collect()  # a row for each pattern
+        path = []
+        for r in steps:
+            path.append(r["pattern"])
+            if not r["emitted"]:
+                break
+        return {
+            "first_path": path,
+            "candidate_facts": sum(r["candidates"] for r in steps),
+            "bindings_emitted": sum(r["emitted"] for r in steps),
+            "candidates_by_pattern": {(r["position"], r["pattern"]): r["candidates"] for r in steps},
+            "emitted_by_pattern": {(r["position"], r["pattern"]): r["emitted"] for r in steps},
+            "rows": query(self.active, patterns, options).count(),
+        }
+
+    def signature(self) -> tuple[int, int]:
+        """(number, combined hash) of the active records, whatever their order; equal worlds have equal ones."""
+        r = self.active.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("slot", "rid", "s", "p", "o")).alias("x")).first()
+        return r["n"], r["x"] or 0
+
+    def audit(self) -> DataFrame:
+        """(slot, head, expected) where the active head isn't the one that the slot's last record left; empty in a sound world."""
+        last = stack.history(self.log).groupBy("slot").agg(F.max_by("resulting_head", "rid").alias("expected")).where("expected is not null")
+        heads = self.active.select("slot", F.col("rid").alias("head"))
+        return heads.join(last, "slot", "full").where(~F.col("head").eqNullSafe(F.col("expected")))
+
     def counts(self) -> dict[str, int]:
         return {"active_slots": self.active.count(), "records": self.log.where("kind <> 'allocate'").count()}
 
