@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factspark.llm import bpe, chat, containment, fingerprint, html, icws, lines, quality, sentences, suffix
+from factspark.llm import bpe, chat, containment, fingerprint, html, icws, lines, oracles, quality, sentences, suffix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_span_dedup": span_dedup,
 }
 
-#: The others can't be put in SQL, or not over whole tables; tests/llm holds them against brute force.
+#: The others can't be put in SQL; tests/llm holds them against brute force.
 ORACLE: dict[str, str] = {
     "op2_decontamination": r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
@@ -92,4 +92,8 @@ with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
      c as (select doc_id, item_id, count(*) as n_shared from g join i using (width, s) group by all)
 select doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles as containment from c join m using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9
 """,
+    "op4_line_dedup": oracles.LINES,
+    "op8_suffix_dedup": oracles.SUFFIXES,
+    "op9_chat_format": oracles.CHAT,
+    "op10_span_dedup": oracles.SPANS,
 }

@@ -336,3 +336,24 @@ def test_template_language():
             chat.Template(bad)
     with pytest.raises(chat.TemplateError):
         chat.Template("{{ missing }}").text([])
+
+
+def test_sql_of_queries(spark, tmp_path):
+    """The SQL texts give the queries' rows on a small table of odd texts."""
+    import duckdb
+
+    from factspark.llm import queries
+
+    a, b, c = "One line of five words here.", "A second line that has more words in it!", "Third: is it repeated?"
+    rows = [(1, f"{a}\n{b} {c}\n\n{c}"), (2, f"\n  \n{a}\n{b} {c}  \nown"), (3, None), (4, ""), (5, " \n "), (6, f"({a} \"{b}\" {c} {a} {b} {c}"), (7, "é" * 40 + a), (8, "x" + "é" * 40), (9, "k\nl\nk\nl\nk"), (10, "... !\n?")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "system", "a[TURN:]\\ b"), (1, 1, "user", None), (1, 2, "assistant", "</s><s>é"), (1, 3, "assistant", "x"), (2, 0, "user", "[[/INST]")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in ("op4_line_dedup", "op8_suffix_dedup", "op9_chat_format", "op10_span_dedup"):
+        found = queries.QUERIES[name](spark, str(tmp_path))
+        known = con.sql(queries.ORACLE[name])
+        assert sorted(found.columns) == sorted(known.columns)
+        assert sorted(map(tuple, found.select(*known.columns).collect())) == sorted(known.fetchall()), name
