@@ -19,9 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factspark.llm.frames import documents, public_id
+from factspark.llm.frames import NO_ID, documents, public_id
+from factspark.llm.graph import components
+from factspark.llm.icws import PAIRS_A_TEXT, mixed_buckets, star_pairs
 from factspark.llm.text import chunks, mix, segment_min, shingle_hashes
-from factspark.session import partitions
+from factspark.session import partitions, shared_dir
 
 PERMUTATIONS = 128
 BANDS = 32  # of four rows: a pair at 0.8 is missed with a probability of 5e-8
@@ -80,12 +82,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, jaccard): distinct texts of a band that are at least ``threshold`` alike.
+    """(a, b, jaccard): pairs of texts of a band that are at least ``threshold`` alike, enough of them to join each class of near texts.
 
-    Each distinct text stands for its copies under its least id. In every band bucket a text is held against the bucket's least one,
-    so that a bucket of n texts costs n pairs. A null id takes no part.
+    Each distinct text stands for its copies under its least id; of rows with equal id and different texts the least text counts. In every
+    band bucket each text is held against the bucket's least one; in buckets that then hold two classes or more, against the next one, and
+    so on, until at most ``PAIRS_A_TEXT`` pairs a text are left between classes, which are all verified. A null id takes no part, nor
+    does a text without a word.
     """
-    docs = documents(df, id_col, text_col).where(F.col("id") != F.lit(-(1 << 63)))
+    spark = df.sparkSession
+    shared_dir(spark)
+    docs = documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID)).groupBy("id").agg(F.min("text").alias("text"))
     rows = PERMUTATIONS // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,19 +104,39 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b["id"][i:j], pa.array(digest, pa.binary()), lists], ["id", "digest", "bands"])
 
-    one = docs.mapInArrow(run, "id long, digest binary, bands array<long>").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("x.id", "x.bands")
-    exploded = one.select("id", F.explode("bands").alias("band")).where("band != 0")
-    heads = exploded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = exploded.join(heads, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    texts = docs.groupBy("id").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             value = np.array([jaccard(x, y) for x, y in zip(b["ta"], b["tb"], strict=True)], float)
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(value)], ["a", "b", "jaccard"])
 
-    return both.mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+
+    one = docs.mapInArrow(run, "id long, digest binary, bands array<long>").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x"))
+    exploded = one.select(F.col("x.id").alias("rep"), F.explode("x.bands").alias("band")).where("band != 0")
+    crowded = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = exploded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
+    most = PAIRS_A_TEXT * members.select("rep").distinct().count()
+    edges = spark.createDataFrame([], "a long, b long, jaccard double")
+    tested = edges.select("a", "b")
+    while True:
+        mixed = mixed_buckets(members, components(edges.select("a", "b"))).checkpoint()
+        classes = mixed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
+        left = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
+        if not left:
+            return edges
+        if last := left <= most:
+            other = mixed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
+            pairs = mixed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
+        else:
+            pairs, heads = star_pairs(mixed)
+            members = members.join(heads, ["band", "rep"], "left_anti").checkpoint()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
+        tested = tested.unionByName(pairs)
+        edges = edges.unionByName(verified(pairs).checkpoint())
+        if last:
+            return edges
 
 
 def jaccard(x: pa.Scalar, y: pa.Scalar) -> float:

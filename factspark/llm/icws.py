@@ -193,14 +193,14 @@ def _members(texts: DataFrame) -> DataFrame:
     return banded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
 
 
-def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, rep, label) in the buckets that hold texts of two components or more."""
     placed = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
     return placed.join(mixed, "band")
 
 
-def _star(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def star_pairs(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of each text with the least one of its bucket, unless they have one label; the heads)."""
     head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h"))
     pairs = placed.join(head, "band").where("rep <> h.rep and label <> h.label").select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
@@ -219,15 +219,15 @@ def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col:
     n = signed.count()
     tasks = tasks_for(n)  # of tables with a few rows for each text that has a near copy
     members = _members(texts)
-    tested = _star(members.withColumn("label", F.col("rep")))[0].coalesce(tasks).checkpoint()
+    tested = star_pairs(members.withColumn("label", F.col("rep")))[0].coalesce(tasks).checkpoint()
     edges = _verified(tested, docs, levels, threshold).coalesce(2 * tasks).checkpoint()
     labels = components(edges)
 
-    unsure = _placed(members, labels).select(F.col("rep").alias("id")).distinct().coalesce(tasks).checkpoint()
+    unsure = mixed_buckets(members, labels).select(F.col("rep").alias("id")).distinct().coalesce(tasks).checkpoint()
     sharp = _signed(_only(docs, unsure), levels, sharp=True).groupBy("id").agg(F.first("bands").alias("bands")).select(F.col("id").alias("rep"), "bands")
     members = _members(sharp)
     while True:
-        placed = _placed(members, labels).coalesce(2 * tasks).checkpoint()
+        placed = mixed_buckets(members, labels).coalesce(2 * tasks).checkpoint()
         counted = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
         left = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
         if not left:
@@ -236,7 +236,7 @@ def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col:
             other = placed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
             pairs = placed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
         else:
-            pairs, heads = _star(placed)
+            pairs, heads = star_pairs(placed)
             members = members.join(heads, ["band", "rep"], "left_anti").coalesce(2 * tasks).checkpoint()
         pairs = pairs.join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
         tested = tested.unionByName(pairs)
