@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of each host's pages.
 
 Each page's containers are scored by the clean text below them, and the page votes for the generalised tag-class path (digits
-left out) of the container that it finds best. Spark sums the votes of each host; the text is then taken again from
-the containers on the host's winning path, or from the page's own best one where it has no text on that path.
+left out) of the container that it finds best. A path goes by an 8-byte hash of the whole of it, however long it is. Spark sums the votes
+of each host; the text is then taken again from the containers on the host's winning path, or from the page's own best one where it has
+no text on that path. The path given with a page is that of the containers its text is from, null if it has no text.
 
 Inside the chosen containers, menus, headers, footers, asides, forms, scripts, styles, adverts, notices and reader comments are left out by
 tag, role or class word. Character references are decoded, white space inside a block becomes one space, and blocks are joined by
@@ -12,10 +13,12 @@ name). Repeated rows give repeated results; further columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +27,8 @@ from pyspark.sql import functions as F
 from factspark.llm.text import chunks
 from factspark.session import shared_dir, ship
 
-#: Winning paths that may be broadcast, of at most PATH_CHARS each; beyond it they are joined.
+#: Hosts whose winners may be broadcast, 8 bytes and the name each; beyond it they are joined.
 BROADCAST_HOSTS = 20_000
-PATH_CHARS = 400
 
 # Names of HTML elements by their role in the standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +49,12 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=1 << 14)
+def path_key(path: str) -> int:
+    """Stands for a whole path."""
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 @dataclass
 class Node:
     tag: str
@@ -178,14 +186,22 @@ class Page:
     def text(self, k: int) -> str:
         return " ".join(self.blocks[self.nodes[k].begin : self.nodes[k].end])
 
-    def on_path(self, path: str) -> str:
-        """The text of all containers on the path that aren't inside another one on it."""
-        out, until = [], -1
+    def on_path(self, key: int) -> tuple[str, str]:
+        """(text, path) of all containers on the path of the key that aren't inside another one on it."""
+        out, until, path = [], -1, ""
         for k, node in enumerate(self.nodes):
-            if node.path == path and node.begin >= until:
+            if node.begin >= until and path_key(node.path) == key:
                 out.append(self.text(k))
-                until = node.end
-        return " ".join(t for t in out if t)
+                until, path = node.end, node.path
+        return " ".join(t for t in out if t), path
+
+    def chosen(self, key: int | None) -> tuple[str, str | None]:
+        """(text, path) on the host's winning path, or of the page's own best container."""
+        text, path = self.on_path(key) if key is not None else ("", "")
+        if not text:
+            k = self.best()
+            text, path = self.text(k), self.nodes[k].path
+        return text, path if text else None
 
 
 def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -196,29 +212,29 @@ def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the best path of each host's pages, each weighed by the root of its text; ties go to the lesser path."""
+    """(host, key, votes): the best path of each host's pages, each weighed by the root of its text; ties go to the lesser key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, str], float] = {}
+            found: dict[tuple[str, int], float] = {}
             for i, j in chunks(b["html"]):
                 for host, source in zip(b["host"][i:j].to_pylist(), b["html"][i:j].to_pylist(), strict=True):
                     page = Page(source)
                     k = page.best()
                     if page.nodes[k].chars:
-                        key = host, page.nodes[k].path[:PATH_CHARS]
-                        found[key] = found.get(key, 0.0) + page.nodes[k].chars ** 0.5
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()), pa.array(list(found.values()), pa.float64())], ["host", "path", "votes"])
+                        at = host, path_key(page.nodes[k].path)
+                        found[at] = found.get(at, 0.0) + page.nodes[k].chars ** 0.5
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64()), pa.array(list(found.values()), pa.float64())], ["host", "key", "votes"])
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.round("votes", 6), "path")).alias("path"), F.max("votes").alias("votes"))
+    counted = pages.select("host", "html").mapInArrow(run, "host string, key long, votes double").groupBy("host", "key").agg(F.sum("votes").alias("votes"))
+    return counted.groupBy("host").agg(F.min_by("key", F.struct(-F.round("votes", 6), "key")).alias("key"), F.max("votes").alias("votes"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, path) of each page."""
     pages = _pages(df, id_col, url_col, html_col)
     shared_dir(df.sparkSession)
-    winners = votes(pages).select("host", "path").checkpoint()
+    winners = votes(pages).select("host", "key").checkpoint()
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     kind = dict(pages.dtypes)["id"]
@@ -226,11 +242,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["html"]):
-                texts = []
-                for source, path in zip(b["html"][i:j].to_pylist(), b["path"][i:j].to_pylist(), strict=True):
-                    page = Page(source)
-                    texts.append((page.on_path(path) if path else "") or page.text(page.best()))
-                yield pa.RecordBatch.from_arrays([b["id"][i:j], b["url"][i:j], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b["path"][i:j]], ["id", "url", "text", "n_chars", "path"])
+                found = [Page(source).chosen(key) for source, key in zip(b["html"][i:j].to_pylist(), b["key"][i:j].to_pylist(), strict=True)]
+                texts = [t for t, _ in found]
+                yield pa.RecordBatch.from_arrays([b["id"][i:j], b["url"][i:j], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([p for _, p in found], pa.string())], ["id", "url", "text", "n_chars", "path"])
 
-    joined = pages.join(winners, "host", "left").select("id", "url", "html", "path")
+    joined = pages.join(winners, "host", "left").select("id", "url", "html", "key")
     return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, path string").withColumnRenamed("id", id_col)
