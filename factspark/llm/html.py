@@ -2,8 +2,10 @@
 
 Each page's containers are scored by the clean text below them, and the page votes for the generalised tag-class path (digits
 left out) of the container that it finds best. A path goes by an 8-byte hash of the whole of it, however long it is. Spark sums the votes
-of each host; the text is then taken again from the containers on the host's winning path, or from the page's own best one where it has
-no text on that path. The path given with a page is that of the containers its text is from, null if it has no text.
+of each host, whose templates are all paths of two pages or more with ``TEMPLATE_SHARE`` of its votes or more. A page whose own best container lies on one of them
+is taken from the containers on that path. Any other page is taken from the template that scores best on it, an inner one in place of an
+outer one that adds little, or from its own best container if it has no template's text or but a small part of its own best. The path given
+with a page is that of the containers its text is from, null if it has no text.
 
 Inside the chosen containers, menus, headers, footers, asides, forms, scripts, styles, adverts, notices and reader comments are left out by
 tag, role or class word. Character references are decoded, white space inside a block becomes one space, and blocks are joined by
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 from factspark.llm.text import chunks
 from factspark.session import shared_dir, ship
 
-#: Hosts whose winners may be broadcast, 8 bytes and the name each; beyond it they are joined.
+#: Hosts whose templates may be broadcast, the name and at most 1 / TEMPLATE_SHARE keys of 8 bytes each; beyond it they are joined.
 BROADCAST_HOSTS = 20_000
+#: A path with less of its host's votes, or of one page alone, is no template; its pages still have their own best container.
+TEMPLATE_SHARE = 0.1
+#: Text on a template that is a lesser part of the text of the page's own best container is a stray block.
+STRAY_PART = 0.15
 
 # Names of HTML elements by their role in the standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,22 +192,38 @@ class Page:
     def text(self, k: int) -> str:
         return " ".join(self.blocks[self.nodes[k].begin : self.nodes[k].end])
 
-    def on_path(self, key: int) -> tuple[str, str]:
-        """(text, path) of all containers on the path of the key that aren't inside another one on it."""
-        out, until, path = [], -1, ""
+    def on_path(self, path: str) -> list[int]:
+        """The containers on the path that aren't inside another one on it."""
+        out, until = [], -1
         for k, node in enumerate(self.nodes):
-            if node.begin >= until and path_key(node.path) == key:
-                out.append(self.text(k))
-                until, path = node.end, node.path
-        return " ".join(t for t in out if t), path
-
-    def chosen(self, key: int | None) -> tuple[str, str | None]:
-        """(text, path) on the host's winning path, or of the page's own best container."""
-        text, path = self.on_path(key) if key is not None else ("", "")
-        if not text:
-            k = self.best()
-            text, path = self.text(k), self.nodes[k].path
-        return text, path if text else None
+            if node.path == path and node.begin >= until:
+                out.append(k)
+                until = node.end
+        return out
+
+    def chosen(self, keys: list[int] | None) -> tuple[str, str | None]:
+        """(text, path) on the template of the host that fits the page, or of the page's own best container."""
+        k = self.best()
+        own, path = self.text(k), self.nodes[k].path
+        if keys:
+            voted = {n.path for n in self.nodes if path_key(n.path) in keys}
+            at = path if path in voted else self._template(voted)
+            if at is not None:
+                text = " ".join(t for t in map(self.text, self.on_path(at)) if t)
+                if text and (at == path or len(text) >= STRAY_PART * len(own)):
+                    return text, at
+        return own, path if own else None
+
+    def _template(self, voted: set[str]) -> str | None:
+        """The path whose containers score best, then any inner one that holds most of that, as in ``best``."""
+        score = {p: sum(map(self.score, self.on_path(p))) for p in sorted(voted)}
+        at = max(score, key=score.get, default=None)
+        while at is not None:
+            inner = {p: v for p, v in score.items() if p.startswith(f"{at}>") and v >= 0.6 * score[at]}
+            if not inner or score[at] <= 0:
+                break
+            at = max(inner, key=inner.get)
+        return at
 
 
 def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -212,29 +234,32 @@ def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, key, votes): the best path of each host's pages, each weighed by the root of its text; ties go to the lesser key."""
+    """(host, keys): the templates of each host, by the best paths of its pages, each weighed by the root of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, int], float] = {}
+            found: dict[tuple[str, int], tuple[float, int]] = {}
             for i, j in chunks(b["html"]):
                 for host, source in zip(b["host"][i:j].to_pylist(), b["html"][i:j].to_pylist(), strict=True):
                     page = Page(source)
                     k = page.best()
                     if page.nodes[k].chars:
                         at = host, path_key(page.nodes[k].path)
-                        found[at] = found.get(at, 0.0) + page.nodes[k].chars ** 0.5
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64()), pa.array(list(found.values()), pa.float64())], ["host", "key", "votes"])
+                        vote, n = found.get(at, (0.0, 0))
+                        found[at] = vote + page.nodes[k].chars ** 0.5, n + 1
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64()), pa.array([v for v, _ in found.values()], pa.float64()), pa.array([n for _, n in found.values()], pa.int64())], ["host", "key", "votes", "n"])
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, key long, votes double").groupBy("host", "key").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.min_by("key", F.struct(-F.round("votes", 6), "key")).alias("key"), F.max("votes").alias("votes"))
+    counted = pages.select("host", "html").mapInArrow(run, "host string, key long, votes double, n long").groupBy("host", "key").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"))
+    whole = counted.groupBy(F.col("host").alias("of")).agg(F.sum("votes").alias("whole"))
+    enough = counted.join(whole, counted["host"] == whole["of"]).where("n > 1").where(F.round("votes", 6) >= F.round(TEMPLATE_SHARE * F.col("whole"), 6))
+    return enough.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # few a host
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, path) of each page."""
     pages = _pages(df, id_col, url_col, html_col)
     shared_dir(df.sparkSession)
-    winners = votes(pages).select("host", "key").checkpoint()
+    winners = votes(pages).checkpoint()
     if winners.count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
     kind = dict(pages.dtypes)["id"]
@@ -242,9 +267,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["html"]):
-                found = [Page(source).chosen(key) for source, key in zip(b["html"][i:j].to_pylist(), b["key"][i:j].to_pylist(), strict=True)]
+                found = [Page(source).chosen(keys) for source, keys in zip(b["html"][i:j].to_pylist(), b["keys"][i:j].to_pylist(), strict=True)]
                 texts = [t for t, _ in found]
                 yield pa.RecordBatch.from_arrays([b["id"][i:j], b["url"][i:j], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([p for _, p in found], pa.string())], ["id", "url", "text", "n_chars", "path"])
 
-    joined = pages.join(winners, "host", "left").select("id", "url", "html", "key")
+    joined = pages.join(winners, "host", "left").select("id", "url", "html", "keys")
     return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, path string").withColumnRenamed("id", id_col)

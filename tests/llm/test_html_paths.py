@@ -25,3 +25,27 @@ def test_long_paths_that_differ_late(spark):
     assert len(got[4]["path"]) > 400 and {got[k]["path"] for k in range(5)} == {got[4]["path"]}
     own = html.Page(odd)
     assert own.text(own.best()) != got[4]["text"]
+
+
+def test_mixed_templates_of_one_host(spark):
+    """A third of the pages, and one page of a rare kind, hold their text elsewhere than most, beside a stray block on the common path."""
+    lead = f"<div>{para(6, 'lead')}</div>"
+    common = [f"<body><div>{para(80, f'c{k}x')}</div></body>" for k in range(20)]
+    minority = [f"<body>{lead}<article>{para(80, f'a{k}x')}</article></body>" for k in range(10)]
+    rare = f'<body>{lead}<section class="rare">{para(90, "r")}</section></body>'
+    led = f'<body><div>{para(40, "short")}</div><section class="rare">{para(70, "around")}</section></body>'  # its own best is not its template
+    rows = [(k, f"https://mixed.example/{k}", t) for k, t in enumerate([*common, *minority, rare, led])]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(20)] == [plain(para(80, f"c{k}x")) for k in range(20)]
+    assert [got[20 + k] for k in range(10)] == [plain(para(80, f"a{k}x")) for k in range(10)]
+    assert got[30] == plain(para(90, "r"))
+    assert got[31] == plain(para(40, "short"))
+
+
+def test_given_pages_whole(spark):
+    """``extract`` itself, not the parser alone, gives each given page's article."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        article = html.re.search(r"<article>(.*?)</article>", r["html"], html.re.S)[1]
+        assert got[r["page_id"]] == html.re.sub(r"\s+", " ", html.html.unescape(html.re.sub(r"<[^>]+>", " ", article))).strip()
