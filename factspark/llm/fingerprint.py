@@ -3,7 +3,7 @@
 A fingerprint holds the least value of each of ``PERMUTATIONS`` universal hash permutations x -> a*x + b (mod 2**32, a odd) over the
 text's five-word shingles, all in numpy; 16 bits of each are kept, as hexadecimal digits. The likeness of two fingerprints is
 the share of places where they agree, corrected for chance agreement of 16 bits. For near pairs, bands of the signature are joined
-in Spark and the Jaccard similarity of the shingle sets is computed.
+in Spark and the Jaccard similarity of the shingle sets is computed; the report names each document's class of near texts.
 
 An empty or null text, or one without a word, has the fingerprint of ``ffff`` at every place. Equal texts have equal fingerprints.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from factspark.llm.frames import NO_ID, documents, public_id
 from factspark.llm.graph import components
-from factspark.llm.icws import PAIRS_A_TEXT, mixed_buckets, star_pairs
+from factspark.llm.icws import BROADCAST_IDS, PAIRS_A_TEXT, _only, mixed_buckets, star_pairs
 from factspark.llm.text import chunks, mix, segment_min, shingle_hashes
 from factspark.session import partitions, shared_dir
 
@@ -89,9 +89,32 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     so on, until at most ``PAIRS_A_TEXT`` pairs a text are left between classes, which are all verified. A null id takes no part, nor
     does a text without a word.
     """
+    return _near(df, threshold, id_col, text_col)[0]
+
+
+def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links) of each id but the null one: the least id of the class that equal texts and ``near_pairs`` make, and the number
+    of verified pairs that the text is in, which copies have in common. A text without a word is alone with its copies."""
+    edges, named = _near(df, threshold, id_col, text_col)
+    ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    labels = components(edges.select("a", "b")).withColumnRenamed("id", "rep")
+    found = labels.join(ends, "rep")  # texts with a verified pair
+    return named.join(found, "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _one_text(docs: DataFrame) -> DataFrame:
+    """One row for each id, with the least text; only the texts of ids that have more rows than one are exchanged."""
+    again = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").checkpoint()
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    least = docs.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.join(few, "id", "left_anti").unionByName(least)
+
+
+def _near(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs as ``near_pairs`` has them, (id, rep): the least id of each id's equal texts)."""
     spark = df.sparkSession
     shared_dir(spark)
-    docs = documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID)).groupBy("id").agg(F.min("text").alias("text"))
+    docs = _one_text(documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID)))
     rows = PERMUTATIONS // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +133,16 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(value)], ["a", "b", "jaccard"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        texts = _only(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
 
-    one = docs.mapInArrow(run, "id long, digest binary, bands array<long>").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x"))
-    exploded = one.select(F.col("x.id").alias("rep"), F.explode("x.bands").alias("band")).where("band != 0")
+    signed = docs.mapInArrow(run, "id long, digest binary, bands array<long>").checkpoint()
+    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
+    named = signed.select("id", "digest").join(reps, "digest").select("id", "rep").checkpoint()
+    copies = named.where("id <> rep").select("id")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    exploded = signed.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), F.explode("bands").alias("band")).where("band != 0")
     crowded = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = exploded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
     most = PAIRS_A_TEXT * members.select("rep").distinct().count()
@@ -125,7 +153,7 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         classes = mixed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
         left = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
         if not left:
-            return edges
+            return edges, named
         if last := left <= most:
             other = mixed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
             pairs = mixed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
@@ -136,7 +164,7 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
         tested = tested.unionByName(pairs)
         edges = edges.unionByName(verified(pairs).checkpoint())
         if last:
-            return edges
+            return edges, named
 
 
 def jaccard(x: pa.Scalar, y: pa.Scalar) -> float:
@@ -154,7 +182,8 @@ def _fold(part: np.ndarray, salt: int) -> np.ndarray:
 
 
 def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited form, in order of (id, text); after the last document comes the first.
+    """Fingerprints of each text and of its edited form, in order of (id, text); after the last document comes the first. Then the columns of
+    ``near_classes``; a null id has no class.
 
     Documents are dealt by ranges of id whose bounds come from quantiles of the ids alone; the first document of each range is sent to the
     range before as well, so one exchange of the texts brings each document beside its successor. Null ids come first; of rows with the
@@ -175,23 +204,28 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     goes = spark.createDataFrame([(h, p) for h, p in before.items()], "head long, goes int")  # as many rows as ranges
     extra = placed.join(F.broadcast(goes), F.col("id") == F.col("head")).select("id", "text", F.col("goes").alias("part"))
     dealt = placed.withColumn("last", F.lit(False)).unionByName(extra.withColumn("last", F.lit(True)))
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "last", "id", "text")
+    # an id's class goes with its documents and comes before them, as its text is null
+    classes = near_classes(df, THRESHOLD, id_col, text_col).select("id", F.lit(None).cast("string").alias("text"), bucket.cast("int").alias("part"), F.lit(False).alias("last"), "class_id", "n_links")
+    ordered = dealt.unionByName(classes, allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part", "last", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, bool, int, str] | None = None
+        held: tuple | None = None
+        known: tuple[int, int | None, int] = NO_ID, None, 0
         for b in batches:
             for i, j in chunks(b["text"]):
-                texts = b["text"][i:j].to_pylist()
-                rows = list(zip(b["part"][i:j].to_pylist(), b["last"][i:j].to_pylist(), b["id"][i:j].to_pylist(), texts, strict=True))
-                if held is not None:
-                    rows.insert(0, held)
-                held = rows[-1]
+                rows = [] if held is None else [held]
+                for part, last, key, t, label, links in zip(*(b[c][i:j].to_pylist() for c in ("part", "last", "id", "text", "class_id", "n_links")), strict=True):
+                    if t is None:
+                        known = key, label, links
+                    else:
+                        rows.append((part, last, key, t, *(known[1:] if key == known[0] else (None, 0))))
+                held = rows[-1] if rows else None
                 pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1] and x[0] == y[0]]
                 if pairs:
                     yield _report(pairs, [r[3] for r in rows], rows)
 
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(run, schema).select(public_id().alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_links long"
+    return ordered.mapInArrow(run, schema).select(public_id().alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_links")
 
 
 def _report(pairs: list, texts: list[str], rows: list) -> pa.RecordBatch:
@@ -209,6 +243,8 @@ def _report(pairs: list, texts: list[str], rows: list) -> pa.RecordBatch:
             pa.array(hexes(other), pa.string()),
             pa.array(likeness(mine, other)),
             pa.array(likeness(mine, following)),
+            pa.array([x[4] for x, _ in pairs], pa.int64()),
+            pa.array([x[5] for x, _ in pairs], pa.int64()),
         ],
-        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_links"],
     )
