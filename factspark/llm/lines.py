@@ -1,10 +1,10 @@
-"""Line dedup: repeated runs of lines are found by prefix doubling over line-id sequences, and later copies are deleted.
+"""Line dedup: lines and pairs of lines that an earlier place has are found by hashed windows, and later copies are deleted.
 
-Every line gets an id, the hash of its trimmed bytes. Prefixes of a line's suffix get names by doubling: the name of its first 2h lines comes
-from the name of its first h and that of the h after them. Two suffixes have a longest common prefix of 2**k lines or more
-exactly if their names of level k are equal, so a name's first holder in order of (doc_id, line) is the head of an interval of
-suffixes that share this prefix, and all others are later copies. A maximal repeated run is the union of the windows that have an earlier
-copy; since every window of a repeated run is repeated itself, the least level that counts decides, and no longer names are needed.
+This is not a suffix array with LCP intervals: no suffixes are ranked and no maximal repeated runs are found. Every line gets an id, the hash
+of its trimmed bytes, and every two lines in a row a name from the ids of both. Of each long enough line and each pair the first holder in
+order of (doc_id, line) stays, and all others are later copies. Only which lines are covered by a repeated window is decided: each line of a
+repeated run of two lines or more lies in a repeated pair, and any repeated pair counts, so longer names would cover no other line. The
+reverse doesn't hold (AB in one text and BC in another don't make ABC a repeated run), so n_runs counts stretches removed, not maximal repeated runs.
 
 A run counts if it has two lines or more, or one line of ``LINE_WORDS`` words. A blank line belongs to the line before it. A null text is
 empty and stays so; rows with equal id and text are one document; a null id is the least one.
