@@ -2,10 +2,11 @@
 
 A fingerprint holds the least value of each of ``PERMUTATIONS`` universal hash permutations x -> a*x + b (mod 2**32, a odd) over the
 text's five-word shingles, all in numpy; 16 bits of each are kept, as hexadecimal digits. The likeness of two fingerprints is
-the share of places where they agree, corrected for chance agreement of 16 bits. For near pairs, bands of the signature are joined
-in Spark and the Jaccard similarity of the shingle sets is computed; the report names each document's class of near texts.
+the share of places where they agree; two different minima agree by chance once in 65,536. For near texts (``near``), bands of
+further minima are joined in Spark and the Jaccard similarity of the shingle sets is computed; the report names each document's class.
 
-An empty or null text, or one without a word, has the fingerprint of ``ffff`` at every place. Equal texts have equal fingerprints.
+An empty or null text, or one without a word, has the fingerprint of ``ffff`` at every place. Equal texts have equal fingerprints. Other columns
+of the table are never read, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,24 +15,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factspark.llm import near
 from factspark.llm.frames import NO_ID, documents, public_id
-from factspark.llm.graph import components
-from factspark.llm.icws import BROADCAST_IDS, PAIRS_A_TEXT, _only, mixed_buckets, star_pairs
-from factspark.llm.text import chunks, mix, segment_min, shingle_hashes
-from factspark.session import partitions, shared_dir
+from factspark.llm.near import THRESHOLD
+from factspark.llm.text import chunks, mix, numbered, segment_min, shingle_hashes, shingles_of_words
+from factspark.session import partitions
 
 PERMUTATIONS = 128
-BANDS = 32  # of four rows: a pair at 0.8 is missed with a probability of 5e-8
-THRESHOLD = 0.8
 
 _RNG = np.random.Generator(np.random.PCG64(77003))
-_A = _RNG.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_A = _RNG.integers(1, 1 << 31, near.SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, near.SAMPLES, dtype=np.uint32)
 
 
 def signatures(texts: pa.Array) -> np.ndarray:
@@ -81,151 +81,75 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents(df, id_col, text_col).mapInArrow(run, "id long, fingerprint string").select(public_id().alias(id_col), "fingerprint")
 
 
-def near_pairs(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, jaccard): pairs of texts of a band that are at least ``threshold`` alike, enough of them to join each class of near texts.
-
-    Each distinct text stands for its copies under its least id; of rows with equal id and different texts the least text counts. In every
-    band bucket each text is held against the bucket's least one; in buckets that then hold two classes or more, against the next one, and
-    so on, until at most ``PAIRS_A_TEXT`` pairs a text are left between classes, which are all verified. A null id takes no part, nor
-    does a text without a word.
-    """
-    return _near(df, threshold, id_col, text_col)[0]
-
+def samples(words: np.ndarray, offs: np.ndarray, first: int, count: int) -> Iterator[np.ndarray]:
+    """``count`` minima of each text's shingles, from permutation ``first`` on; 0xFFFFFFFF for a text without a word."""
+    shingles, at = shingles_of_words(words, offs)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(first, first + count):
+        yield segment_min(x * _A[k] + _B[k], at, 0xFFFFFFFF)
 
-def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links) of each id but the null one: the least id of the class that equal texts and ``near_pairs`` make, and the number
-    of verified pairs that the text is in, which copies have in common. A text without a word is alone with its copies."""
-    edges, named = _near(df, threshold, id_col, text_col)
-    ends = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    labels = components(edges.select("a", "b")).withColumnRenamed("id", "rep")
-    found = labels.join(ends, "rep")  # texts with a verified pair
-    return named.join(found, "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
+def _weigh(words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's set of shingles, all of weight 1."""
+    value, copy, own = numbered(*shingles_of_words(words, offs))
+    once = copy == 0
+    return value[once], np.ones(int(once.sum())), own[once]
 
-def _one_text(docs: DataFrame) -> DataFrame:
-    """One row for each id, with the least text; only the texts of ids that have more rows than one are exchanged."""
-    again = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").checkpoint()
-    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    least = docs.join(few, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    return docs.join(few, "id", "left_anti").unionByName(least)
 
+JACCARD = near.Similarity(samples, _weigh)
 
-def _near(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs as ``near_pairs`` has them, (id, rep): the least id of each id's equal texts)."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    docs = _one_text(documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID)))
-    rows = PERMUTATIONS // BANDS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in chunks(b["text"]):
-                sig = signatures(b["text"][i:j])
-                bands = np.stack([_fold(sig[:, r * rows : (r + 1) * rows], r) for r in range(BANDS)], axis=1)
-                bands[(sig == 0xFFFFFFFF).all(axis=1)] = 0
-                digest = [hashlib.md5((t or "").encode()).digest() for t in b["text"][i:j].to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b["id"][i:j], pa.array(digest, pa.binary()), lists], ["id", "digest", "bands"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            value = np.array([jaccard(x, y) for x, y in zip(b["ta"], b["tb"], strict=True)], float)
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(value)], ["a", "b", "jaccard"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        texts = _only(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
-
-    signed = docs.mapInArrow(run, "id long, digest binary, bands array<long>").checkpoint()
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    named = signed.select("id", "digest").join(reps, "digest").select("id", "rep").checkpoint()
-    copies = named.where("id <> rep").select("id")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    exploded = signed.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), F.explode("bands").alias("band")).where("band != 0")
-    crowded = exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = exploded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
-    most = PAIRS_A_TEXT * members.select("rep").distinct().count()
-    edges = spark.createDataFrame([], "a long, b long, jaccard double")
-    tested = edges.select("a", "b")
-    while True:
-        mixed = mixed_buckets(members, components(edges.select("a", "b"))).checkpoint()
-        classes = mixed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
-        left = (classes.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
-        if not left:
-            return edges, named
-        if last := left <= most:
-            other = mixed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
-            pairs = mixed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
-        else:
-            pairs, heads = star_pairs(mixed)
-            members = members.join(heads, ["band", "rep"], "left_anti").checkpoint()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
-        tested = tested.unionByName(pairs)
-        edges = edges.unionByName(verified(pairs).checkpoint())
-        if last:
-            return edges, named
-
-
-def jaccard(x: pa.Scalar, y: pa.Scalar) -> float:
-    sets = [np.unique(shingle_hashes(pa.array([t.as_py()], pa.string()))[0]) for t in (x, y)]
-    common = len(np.intersect1d(*sets, assume_unique=True))
-    whole = len(sets[0]) + len(sets[1]) - common
-    return common / whole if whole else 0.0
-
-
-def _fold(part: np.ndarray, salt: int) -> np.ndarray:
-    value = np.full(len(part), salt + 1, np.uint64)
-    for k in range(part.shape[1]):
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + part[:, k])
-    return value | np.uint64(1)
+def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, class_id) of each row but those of the null id: the least id of the class that equal texts and verified pairs make."""
+    classed = near.classes(near.keyed(documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID))), JACCARD, threshold)
+    return classed.join(classed.groupBy("class").agg(F.min("id").alias("class_id")), "class").select("id", "key", "class_id")
 
 
 def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited form, in order of (id, text); after the last document comes the first. Then the columns of
+    """Fingerprints of each text and of its edited form, in order of (id, text); after the last document comes the first. Then the class of
     ``near_classes``; a null id has no class.
 
-    Documents are dealt by ranges of id whose bounds come from quantiles of the ids alone; the first document of each range is sent to the
-    range before as well, so one exchange of the texts brings each document beside its successor. Null ids come first; of rows with the
-    same id the lesser text comes first.
+    Documents are dealt by ranges of id whose bounds come from quantiles of the ids alone, one range to a task; the first document of each range
+    is sent to the range before as well, so one exchange of the texts brings each document beside its successor. Null ids come first; of
+    rows with the same id the lesser text comes first.
     """
     spark = df.sparkSession
-    docs = documents(df, id_col, text_col)
+    docs = near.keyed(documents(df, id_col, text_col))
     n = partitions(spark)
-    known = docs.where(F.col("id") != F.lit(-(1 << 63)))
-    bounds = sorted({int(x) for x in (known.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else [])})
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("id")))
-    placed = docs.withColumn("part", bucket.cast("int"))
+    known = docs.where(F.col("id") != F.lit(NO_ID))
+    bounds = np.array(sorted({int(x) for x in (known.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else [])}), np.int64)
+    part = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32)), "int")
+    placed = docs.withColumn("part", part("id"))
     heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.min("id").alias("head")).collect()}  # a number for each range
     order = sorted(heads)
     before = {heads[p]: order[k - 1] for k, p in enumerate(order)}  # the first range's head goes behind the last
     goes = spark.createDataFrame([(h, p) for h, p in before.items()], "head long, goes int")  # as many rows as ranges
-    extra = placed.join(F.broadcast(goes), F.col("id") == F.col("head")).select("id", "text", F.col("goes").alias("part"))
+    extra = placed.join(F.broadcast(goes), F.col("id") == F.col("head")).select("id", "text", "key", F.col("goes").alias("part"))
     dealt = placed.withColumn("last", F.lit(False)).unionByName(extra.withColumn("last", F.lit(True)))
-    # an id's class goes with its documents and comes before them, as its text is null
-    classes = near_classes(df, THRESHOLD, id_col, text_col).select("id", F.lit(None).cast("string").alias("text"), bucket.cast("int").alias("part"), F.lit(False).alias("last"), "class_id", "n_links")
-    ordered = dealt.unionByName(classes, allowMissingColumns=True).repartition(n, "part").sortWithinPartitions("part", "last", "id", "text")
+    # a document's class goes with it and comes before it, as its text is null
+    classes = near_classes(df, THRESHOLD, id_col, text_col).select("id", F.lit(None).cast("string").alias("text"), "key", part("id").alias("part"), F.lit(False).alias("last"), "class_id")
+    ordered = dealt.unionByName(classes, allowMissingColumns=True).repartitionById(n, "part").sortWithinPartitions("part", "last", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        known: tuple[int, int | None, int] = NO_ID, None, 0
+        of, known = NO_ID, {}
         for b in batches:
             for i, j in chunks(b["text"]):
                 rows = [] if held is None else [held]
-                for part, last, key, t, label, links in zip(*(b[c][i:j].to_pylist() for c in ("part", "last", "id", "text", "class_id", "n_links")), strict=True):
+                for part, last, key, t, doc, label in zip(*(b[c][i:j].to_pylist() for c in ("part", "last", "id", "text", "key", "class_id")), strict=True):
+                    if key != of:
+                        of, known = key, {}
                     if t is None:
-                        known = key, label, links
+                        known[doc] = label
                     else:
-                        rows.append((part, last, key, t, *(known[1:] if key == known[0] else (None, 0))))
+                        rows.append((part, last, key, t, known.get(doc)))
                 held = rows[-1] if rows else None
                 pairs = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1] and x[0] == y[0]]
                 if pairs:
                     yield _report(pairs, [r[3] for r in rows], rows)
 
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, n_links long"
-    return ordered.mapInArrow(run, schema).select(public_id().alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_links")
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+    return ordered.mapInArrow(run, schema).select(public_id().alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
 
 
 def _report(pairs: list, texts: list[str], rows: list) -> pa.RecordBatch:
@@ -244,7 +168,6 @@ def _report(pairs: list, texts: list[str], rows: list) -> pa.RecordBatch:
             pa.array(likeness(mine, other)),
             pa.array(likeness(mine, following)),
             pa.array([x[4] for x, _ in pairs], pa.int64()),
-            pa.array([x[5] for x, _ in pairs], pa.int64()),
         ],
-        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "n_links"],
+        ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
     )

@@ -7,20 +7,14 @@ of copies from being torn apart by its own frequency.
 
 Each sample draws r, c ~ Gamma(2, 1) and beta ~ U(0, 1) for an element from 65,536 tabled draws, chosen by a hash of (element, sample), and
 keeps the element with the least a = c / (y exp(r)), y = exp(r (t - beta)), t = floor(ln w / r + beta); two documents share a sample with the
-chance of their weighted Jaccard similarity. Bands of samples are joined in Spark, and pairs are verified by their exact
-weighted Jaccard similarity.
+chance of their weighted Jaccard similarity. Bands of samples are joined in Spark, and pairs are verified by their weighted Jaccard similarity.
 
-Texts with the same words are one text, whose least id stands for it. In a band bucket every text is held against the least one. Texts
-that then share a bucket with a text of another component get longer and more bands; in their buckets every text is held against the
-least one, the next, and so on, until the pairs left between components are fewer than ``PAIRS_A_TEXT`` a text and are all verified. So a
-bucket of n texts never makes more than n pairs at once, and every pair of a sharp bucket is either verified or within one component.
-
-A text without a word (or null) is a class of its own. Rows with the same id are one document. A null id takes no part: its class is null.
+``near`` says how bands become classes. A null id takes no part: its class is null and it is kept. A document is an id with a text; equal texts without
+a word are one class.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,25 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factspark.llm import near
 from factspark.llm.frames import NO_ID, documents, public_id
-from factspark.llm.graph import components, tasks_for
+from factspark.llm.near import THRESHOLD
 from factspark.llm.text import chunks, mix, numbered, segment_min, shingles_of_words, word_hashes
-from factspark.session import shared_dir
 
-THRESHOLD = 0.8
-BANDS, ROWS = 30, 6  # a pair at 0.8 is missed with a probability of 1e-4, one at 0.85 of 7e-7
 FEATURE_BITS, SLICE_BITS = 20, 16
 LEVELS, LEVEL_STEP = 16, 1 / 12
-#: For texts that share a bucket and lie in different components: as sharp as is needed to tell 0.8 from 0.6; one at 0.8 is missed with 8e-4.
-SHARP_BANDS, SHARP_ROWS = 250, 16
-PAIRS_A_TEXT = 16
-#: Ids that may be broadcast: some 10 MB.
-BROADCAST_IDS = 250_000
 _DRAWS = 1 << 16
 _EMPTY = (1 << 32) - 1
 _CODE_BITS = 20  # ranks of a; 12 bits of the element's hash go below
 _RNG = np.random.Generator(np.random.PCG64(4711))
-_SALTS = _RNG.integers(0, 1 << 31, (BANDS * ROWS + SHARP_BANDS * SHARP_ROWS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SALTS = _RNG.integers(0, 1 << 31, (near.SAMPLES, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 @cache
@@ -111,144 +98,49 @@ def _levels(df: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.rint(0.5 * np.log(idf) / LEVEL_STEP), 0, LEVELS - 1).astype(np.uint8)
 
 
-def band_hashes(words: np.ndarray, offs: np.ndarray, levels: np.ndarray, sharp: bool = False) -> np.ndarray:
-    """One row of ``BANDS`` (or ``SHARP_BANDS``) hashes for each text; 0 for a text without a word."""
-    bands, rows, before = (SHARP_BANDS, SHARP_ROWS, BANDS * ROWS) if sharp else (BANDS, ROWS, 0)
+def samples(words: np.ndarray, offs: np.ndarray, levels: np.ndarray, first: int, count: int) -> Iterator[np.ndarray]:
+    """``count`` samples of each text, from number ``first`` on."""
     value, feature, own = elements(words, offs)
     bounds = np.searchsorted(own, np.arange(len(offs)))
     base = levels[feature].astype(np.uint32) * np.uint32(_DRAWS)
     seed = (value >> np.uint64(32)).astype(np.uint32)
     low = (value & np.uint64((1 << (32 - _CODE_BITS)) - 1)).astype(np.uint32)
     table, at = _table(), np.empty_like(seed)
-    out = np.empty((len(offs) - 1, bands), np.uint64)
-    for band in range(bands):
-        folded = np.full(len(offs) - 1, band + 1, np.uint64)
-        for k in range(before + band * rows, before + (band + 1) * rows):
-            np.multiply(seed ^ _SALTS[k, 0], _SALTS[k, 1], out=at)
-            np.right_shift(at, 16, out=at)
-            np.add(at, base, out=at)
-            least = segment_min(table.take(at) | low, bounds, _EMPTY)
-            folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = folded | np.uint64(1)
-    out[np.diff(bounds) == 0] = 0
-    return out
-
-
-def weighted_jaccard(left: pa.Array, right: pa.Array, levels: np.ndarray) -> np.ndarray:
-    """Of each pair of texts."""
-    sides = [elements(*word_hashes(t)) for t in (left, right)]
-    value, feature, own = (np.concatenate([s[k] for s in sides]) for k in range(3))
-    order = np.lexsort((value, own))
-    value, own, weight = value[order], own[order], np.exp(levels[feature[order]] * LEVEL_STEP)
-    common = np.zeros(len(value), bool)
-    common[1:] = (value[1:] == value[:-1]) & (own[1:] == own[:-1])
-    n = len(left)
-    both = np.bincount(own[common], weight[common], n)
-    whole = np.bincount(own, weight, n) - both
-    return np.divide(both, whole, out=np.zeros(n), where=whole > 0)
-
-
-def _signed(docs: DataFrame, levels, sharp: bool = False) -> DataFrame:
-    """(id, digest, bands) of each row."""
-    width = SHARP_BANDS if sharp else BANDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in chunks(b["text"]):
-                words, offs = word_hashes(b["text"][i:j])
-                bands = band_hashes(words, offs, levels.value, sharp)
-                raw = words.tobytes()
-                digests = [hashlib.md5(raw[8 * x : 8 * y]).digest() if y > x else None for x, y in zip(offs[:-1], offs[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * width), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b["id"][i:j], pa.array(digests, pa.binary()), lists], ["id", "digest", "bands"])
-
-    return docs.mapInArrow(run, "id long, digest binary, bands array<long>")
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the ids, which are broadcast if they are few."""
-    ids = ids.select("id").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, levels, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) those that are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in chunks(b["tb"]):
-                good = pa.array(weighted_jaccard(b["ta"][i:j], b["tb"][i:j], levels.value) >= threshold)
-                yield pa.RecordBatch.from_arrays([b["a"][i:j].filter(good), b["b"][i:j].filter(good)], ["a", "b"])
-
-    texts = _only(docs, pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()))
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long").distinct()
-
+    for k in range(first, first + count):
+        np.multiply(seed ^ _SALTS[k, 0], _SALTS[k, 1], out=at)
+        np.right_shift(at, 16, out=at)
+        np.add(at, base, out=at)
+        yield segment_min(table.take(at) | low, bounds, _EMPTY)
 
-def _members(texts: DataFrame) -> DataFrame:
-    """(band, rep) of the buckets that hold two texts or more."""
-    banded = texts.select("rep", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return banded.join(crowded, "band").select("band", "rep").distinct().checkpoint()
 
+def weighted(levels) -> near.Similarity:
+    """The similarity by the broadcast weight levels."""
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, label) in the buckets that hold texts of two components or more."""
-    placed = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    return placed.join(mixed, "band")
+    def weigh(words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value, feature, own = elements(words, offs)
+        return value, np.exp(levels.value[feature] * LEVEL_STEP), own
 
+    return near.Similarity(lambda words, offs, first, count: samples(words, offs, levels.value, first, count), weigh)
 
-def star_pairs(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of each text with the least one of its bucket, unless they have one label; the heads)."""
-    head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h"))
-    pairs = placed.join(head, "band").where("rep <> h.rep and label <> h.label").select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    return pairs, head.select("band", F.col("h.rep").alias("rep"))
 
+def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_members, kept) of each row: the class is named by its least id, and the rows of one document of that id are kept.
 
-def near_duplicate_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_members, kept): the class is named by its least id, whose document is the one to keep."""
+    With ``with_key`` also ``key``, by which ``near.keyed`` tells documents of one id apart.
+    """
     spark = df.sparkSession
-    shared_dir(spark)
-    docs = documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID))
-    levels = spark.sparkContext.broadcast(weight_levels(docs))
-    signed = _signed(docs, levels).checkpoint()
-    texts = signed.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("digest", F.col("x.id").alias("rep"), F.col("x.bands").alias("bands"))
-
-    n = signed.count()
-    tasks = tasks_for(n)  # of tables with a few rows for each text that has a near copy
-    members = _members(texts)
-    tested = star_pairs(members.withColumn("label", F.col("rep")))[0].coalesce(tasks).checkpoint()
-    edges = _verified(tested, docs, levels, threshold).coalesce(2 * tasks).checkpoint()
-    labels = components(edges)
-
-    unsure = mixed_buckets(members, labels).select(F.col("rep").alias("id")).distinct().coalesce(tasks).checkpoint()
-    sharp = _signed(_only(docs, unsure), levels, sharp=True).groupBy("id").agg(F.first("bands").alias("bands")).select(F.col("id").alias("rep"), "bands")
-    members = _members(sharp)
-    while True:
-        placed = mixed_buckets(members, labels).coalesce(2 * tasks).checkpoint()
-        counted = placed.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("n"))
-        left = (counted.agg(F.sum("n").alias("n")).first()["n"] or 0) / 2
-        if not left:
-            break
-        if final := left <= PAIRS_A_TEXT * n:
-            other = placed.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
-            pairs = placed.join(other, "band").where("rep < b and label <> other").select(F.col("rep").alias("a"), "b").distinct()
-        else:
-            pairs, heads = star_pairs(placed)
-            members = members.join(heads, ["band", "rep"], "left_anti").coalesce(2 * tasks).checkpoint()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
-        tested = tested.unionByName(pairs)
-        found = _verified(pairs, docs, levels, threshold).coalesce(2 * tasks).checkpoint()
-        edges = edges.unionByName(found)
-        labels = components(edges)
-        if final:
-            break
-
-    named = signed.select("id", "digest").join(texts.select("digest", "rep"), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    classed = named.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class"))
-    sizes = classed.groupBy("class").agg(F.count("*").alias("n_members"))
-    out = classed.join(sizes, "class").select(F.col("id").alias(id_col), F.col("class").alias("class_id"), "n_members", (F.col("id") == F.col("class")).alias("kept"))
-    lost = documents(df, id_col, text_col).where(F.col("id") == F.lit(NO_ID)).select(public_id().alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_members"), F.lit(True).alias("kept"))
-    return out.unionByName(lost)
+    docs = near.keyed(documents(df, id_col, text_col).where(F.col("id") != F.lit(NO_ID)))
+    classed = near.classes(docs, weighted(spark.sparkContext.broadcast(weight_levels(docs))), threshold)
+    named = classed.groupBy("class").agg(F.count("*").alias("n_members"), F.min(F.struct("id", "key")).alias("first"))
+    out = classed.join(named, "class").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_members", (F.struct("id", "key") == F.col("first")).alias("kept"), "key")
+    lost = near.keyed(documents(df, id_col, text_col).where(F.col("id") == F.lit(NO_ID)))
+    lost = lost.select(public_id().alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_members"), F.lit(True).alias("kept"), "key")
+    out = out.unionByName(lost)
+    return out if with_key else out.drop("key")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without those of documents that aren't kept: one document of each class, and every row with a null id."""
+    key = F.xxhash64(F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)), F.coalesce(df[text_col].cast("string"), F.lit("")))
+    gone = near_duplicate_classes(df, id_col=id_col, text_col=text_col, with_key=True).where("not kept").select(F.col("key").alias("_gone"))
+    return df.join(gone, key == gone["_gone"], "left_anti")

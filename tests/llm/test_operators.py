@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -80,22 +81,46 @@ def test_near_duplicates(spark, docs):
     rows, df = docs
     got = icws.near_duplicate_classes(df).collect()
     assert len(got) == len(rows)
-    levels = icws.weight_levels(icws.documents(df).where("id > -9223372036854775808"))
-    known = [(i, t) for i, t in plain(rows) if i >= 0]
-    parent = {i: i for i, _ in known}
+    want = near_groups(rows)
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None) == collections.Counter((i, want[i, t or ""]) for i, t in rows if i is not None)
+    assert {r["kept"] for r in got if r["doc_id"] is None} == {True}
+    assert {r["class_id"] for r in got if r["kept"] and r["doc_id"] is not None} == set(want.values())
+    assert icws.near_duplicate_classes(empty(spark)).count() == 0
+
+
+def near_groups(rows):
+    """The least id of each document's class, by shingles, counts and weights of its own and all pairs."""
+    known = sorted({(i, t or "") for i, t in rows if i is not None})
+    words = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for _, t in known]
+    bags = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))) for w in words]
+    slot = {s: int(text.shingle_hashes(pa.array([" ".join(s)]))[0][0] >> np.uint64(44)) for b in bags for s in b}
+    n, at = sum(i is not None for i, _ in rows), {d: k for k, d in enumerate(known)}
+    df = collections.Counter(x for i, t in rows if i is not None for x in {slot[s] for s in bags[at[i, t or ""]]})
+    weight = {s: math.exp(round(0.5 * math.log(1 + math.log((1 + n) / (1 + df[x]))) * 12) / 12) for s, x in slot.items()}
+    parent = list(range(len(known)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for x, (a, ta) in enumerate(known):
-        for b, tb in known[:x]:
-            if icws.weighted_jaccard(pa.array([ta]), pa.array([tb]), levels)[0] >= 0.8:
-                p, q = find(a), find(b)
+    for x, a in enumerate(bags):
+        for y in range(x):
+            b = bags[y]
+            both = sum(weight[s] * min(c, b[s]) for s, c in a.items() if s in b)
+            whole = sum(weight[s] * c for s, c in a.items()) + sum(weight[s] * c for s, c in b.items()) - both
+            if known[x][1] == known[y][1] or words[x] == words[y] != [] or both >= 0.8 * whole > 0:
+                p, q = find(x), find(y)
                 parent[max(p, q)] = min(p, q)
-    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == {i: find(i) for i, _ in known}
-    assert icws.near_duplicate_classes(empty(spark)).count() == 0
+    return {d: known[find(x)][0] for x, d in enumerate(known)}
+
+
+def test_one_id_with_several_texts(spark):
+    """A text that only shares its id with a copy is kept."""
+    a, q, z = ("alpha beta gamma delta epsilon", "one two three four five six", "an other text altogether here")
+    rows = [(3, a), (9, a), (9, q), (12, z), (13, None), (14, ""), (15, "!"), (16, "!")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, key int")
+    assert sorted(tuple(r)[:2] for r in icws.keep_one(df).fillna("").collect()) == [(3, a), (9, q), (12, z), (13, ""), (15, "!")]
 
 
 def test_weighted_sampling_is_unbiased():
@@ -103,15 +128,15 @@ def test_weighted_sampling_is_unbiased():
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     other = base[:300] + [f"v{k}" for k in range(100)]
     levels = np.random.default_rng(0).integers(6, 13, 1 << icws.FEATURE_BITS).astype(np.uint8)
-    true = icws.weighted_jaccard(pa.array([" ".join(base)]), pa.array([" ".join(other)]), levels)[0]
+    mine, theirs = ({" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
+
+    def mass(shingles):
+        return sum(math.exp(levels[int(text.shingle_hashes(pa.array([x]))[0][0] >> np.uint64(44))] / 12) for x in shingles)
+
+    true = mass(mine & theirs) / mass(mine | theirs)
     words, offs = text.word_hashes(pa.array([" ".join(base), " ".join(other)]))
-    old = icws.BANDS, icws.ROWS
-    icws.BANDS, icws.ROWS = 4000, 1
-    try:
-        bands = icws.band_hashes(words, offs, levels)
-    finally:
-        icws.BANDS, icws.ROWS = old
-    assert abs((bands[0] == bands[1]).mean() - true) < 0.03
+    drawn = np.array(list(icws.samples(words, offs, levels, 0, 4000)))
+    assert abs((drawn[:, 0] == drawn[:, 1]).mean() - true) < 0.03
 
 
 def test_containment(spark, docs):
@@ -268,44 +293,34 @@ def test_fingerprints(spark, docs):
             assert abs(got[i][column] - true) < 0.25
     assert fingerprint.edit_report(empty(spark)).count() == 0
     assert {r["fingerprint"] for r in fingerprint.fingerprints(df).collect()} == set(by_text.values())
-    assert fingerprint.near_pairs(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("pairs_a_text", [16, 0.5])
-def test_near_pairs(spark, docs, monkeypatch, pairs_a_text):
-    """The classes of all near pairs by brute force, with and without further rounds; some least texts of a bucket are far from the rest."""
-    monkeypatch.setattr(fingerprint, "PAIRS_A_TEXT", pairs_a_text)
+@pytest.mark.parametrize("operator", ["op1", "op7"])
+def test_near_family(spark, docs, operator):
+    """The classes of a family of texts, many of which are just under the threshold to most others, against all pairs."""
     rng = random.Random(8)
-    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    base = [f"w{rng.randrange(900)}" for _ in range(160)]
     family = []
-    for k in range(12):  # texts that share much of their shingles, few of them enough
+    for k in range(150):
         w = list(base)
-        for x in rng.sample(range(120), 1 + k % 6):
+        for x in rng.sample(range(160), 1 + k % 5):
             w[x] = f"v{k // 2}{x}"
         family.append((1000 + k, " ".join(w)))
-    rows = [r for r in docs[0] if r[0] not in (9, docs[0][5][0])] + family
-    pairs = [(r["a"], r["b"], r["jaccard"]) for r in fingerprint.near_pairs(spark.createDataFrame([(i, t, "i", "t", 1) for i, t in rows], SCHEMA)).collect()]
-    known = {}
-    for i, t in sorted((i, t or "") for i, t in rows if i is not None):
-        known.setdefault(t, i)
-    sets = {i: set(text.shingle_hashes(pa.array([t]))[0].tolist()) for t, i in known.items()}
-    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
-    near = [p for p, j in true.items() if j >= 0.8]
-    assert near and all(true[a, b] == j and j >= 0.8 for a, b, j in pairs)
-    roots = []
-    for edges in (near, [(a, b) for a, b, _ in pairs]):
-        parent = {i: i for i in sets}
-
-        def find(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in edges:
-            p, q = find(a), find(b)
-            parent[max(p, q)] = min(p, q)
-        roots.append({i: find(i) for i in sets})
-    assert roots[0] == roots[1]
+    df = spark.createDataFrame([(i, t, "i", "t", 1) for i, t in family], SCHEMA)
+    if operator == "op1":
+        want, got = {i: c for (i, _), c in near_groups(family).items()}, {r["doc_id"]: r["class_id"] for r in icws.near_duplicate_classes(df).collect()}
+    else:
+        sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in family}
+        want = {i: i for i in sets}
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    x, y = sorted((want[a], want[b]))
+                    want = {i: x if c == y else c for i, c in want.items()}
+        got = {r["id"]: r["class_id"] for r in fingerprint.near_classes(df).collect()}
+    assert got == want
+    assert 10 < len(set(want.values())) < 140
+    assert fingerprint.near_classes(empty(spark)).count() == 0
 
 
 def test_html(spark):

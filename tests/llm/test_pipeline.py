@@ -74,36 +74,38 @@ def lines_of(spark, rows, path):
 
 def near_of(spark, rows, path):
     """Every pair's weighted Jaccard similarity; the least id of each component stays."""
-    known = sorted({r[0]: r[1] for r in rows if r[0] is not None}.items())
+    known = sorted({(r[0], r[1]) for r in rows if r[0] is not None})
     n = sum(r[0] is not None for r in rows)
-    words = {i: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for i, t in known}
-    shingles = {i: [tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))] for i, w in words.items()}
+    words = {d: re.findall(r"[0-9a-z\x80-\U0010ffff]+", d[1].lower()) for d in known}
+    shingles = {d: [tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))] for d, w in words.items()}
     feature = {}
-    for i, t in known:
-        feature |= dict(zip(shingles[i], icws._feature(text.shingle_hashes(pa.array([t]))[0]).tolist(), strict=True))
-    count = collections.Counter(f for r in rows if r[0] is not None for f in {feature[s] for s in shingles[r[0]]})
+    for d in known:
+        feature |= dict(zip(shingles[d], (text.shingle_hashes(pa.array([d[1]]))[0] >> np.uint64(44)).tolist(), strict=True))
+    count = collections.Counter(f for r in rows if r[0] is not None for f in {feature[s] for s in shingles[r[0], r[1]]})
 
     def weight(s):
         idf = 1 + math.log((1 + n) / (1 + min(count[feature[s]], n)))
         return math.exp(min(max(round(0.5 * math.log(idf) * 12), 0), 15) / 12)
 
-    bags = {i: collections.Counter(s) for i, s in shingles.items()}
-    total = {i: sum(weight(s) * c for s, c in b.items()) for i, b in bags.items()}
-    parent = {i: i for i, _ in known}
+    bags = {d: collections.Counter(s) for d, s in shingles.items()}
+    total = {d: sum(weight(s) * c for s, c in b.items()) for d, b in bags.items()}
+    parent = {d: d for d in known}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, _ in known:
-        for b, _ in known:
-            if b < a and bags[a] and bags[b]:
+    for a in known:
+        for b in known:
+            if b < a and a[1] == b[1]:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+            elif b < a and bags[a] and bags[b]:
                 both = sum(weight(s) * min(c, bags[b][s]) for s, c in bags[a].items() if s in bags[b])
                 if both >= 0.8 * (total[a] + total[b] - both):
                     p, q = find(a), find(b)
                     parent[max(p, q)] = min(p, q)
-    return [r for r in rows if r[0] is None or find(r[0]) == r[0]]
+    return [r for r in rows if r[0] is None or find((r[0], r[1])) == (r[0], r[1])]
 
 
 def clean_of(spark, rows, path):
