@@ -8,9 +8,10 @@ outer one that adds little, or from its own best container if it has no template
 with a page is that of the containers its text is from, null if it has no text.
 
 Inside the chosen containers, menus, headers, footers, asides, forms, scripts, styles, adverts, notices and reader comments are left out by
-tag, role or class word. Character references are decoded, white space inside a block becomes one space, and blocks are joined by
+tag, role or, of a box, class word. Character references are decoded, each stretch between two tags by itself, white space inside a block becomes one space, and blocks are joined by
 one space. A null or empty page, or one without text, gives an empty text; a null url belongs to a host of its own (empty
-name). Repeated rows give repeated results; further columns are left out.
+name). A null page_id stays null; an element that is never closed ends with
+the page, and depth costs nothing beyond the nodes. Repeated rows give repeated results; further columns are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -41,6 +43,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg select object canvas audio video math".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body div main section td".split())
+BOXES = frozenset("div section ul ol dl table figure details blockquote".split())
 DROPPED = frozenset("nav header footer aside form menu head button dialog label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 DROPPED_WORDS = frozenset(
@@ -56,16 +59,23 @@ _SPACE = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=1 << 14)
+def step_key(above: int, step: str) -> int:
+    """Stands for a whole path: hashes the last step with the key of the path above, so a deep path costs no more than a shallow one."""
+    return int.from_bytes(hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=8, salt=above.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
 def path_key(path: str) -> int:
-    """Stands for a whole path."""
-    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    key = 0
+    for step in path.split(">")[1:]:
+        key = step_key(key, step)
+    return key
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
-    dropped: bool
+    step: str
+    key: int
     parent: int
     chars: int = 0
     links: int = 0
@@ -78,7 +88,7 @@ class Page:
     """Containers of a page, and its clean blocks in order; each block is (text, container)."""
 
     def __init__(self, source: str):
-        self.nodes: list[Node] = [Node("", "", False, -1)]
+        self.nodes: list[Node] = [Node("", "", 0, -1)]
         self.blocks: list[str] = []
         self._read(source or "")
 
@@ -87,25 +97,26 @@ class Page:
         buffer: list[str] = []
         linked = 0
         at, n = 0, len(source)
+        opened: Counter[str] = Counter()  # open elements of each tag
+        unended: set[str] = set()  # raw elements without an end from here on
 
         def flush() -> None:
             nonlocal linked
-            text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip() if buffer else ""
+            text = _SPACE.sub(" ", "".join(buffer)).strip() if buffer else ""
             buffer.clear()
             if text:
                 self.blocks.append(text)
-                node = stack[-1][1]
-                while node >= 0:
-                    self.nodes[node].chars += len(text)
-                    self.nodes[node].links += min(linked, len(text))
-                    node = self.nodes[node].parent
+                node = self.nodes[stack[-1][1]]
+                node.chars += len(text)
+                node.links += min(linked, len(text))
             linked = 0
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCK:
                     flush()
-                _, node, _ = stack.pop()
+                tag, node, _ = stack.pop()
+                opened[tag] -= 1
                 if stack[-1][1] != node:
                     self.nodes[node].end = len(self.blocks)
 
@@ -114,7 +125,7 @@ class Page:
             m = _TAG.search(source, at)
             piece = source[at : m.start() if m else n]
             if piece and not stack[-1][2]:
-                buffer.append(piece)
+                buffer.append(html.unescape(piece))  # a reference doesn't go on beyond a tag
                 if links:
                     linked += len(piece)
             if not m:
@@ -126,16 +137,15 @@ class Page:
             if m[1]:
                 if tag == "a":
                     links = max(0, links - 1)
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                else:
-                    if tag in BLOCK and not stack[-1][2]:
-                        flush()
+                if opened[tag]:
+                    close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth][0] == tag))
+                elif tag in BLOCK and not stack[-1][2]:
+                    flush()
                 continue
             if tag in RAW:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                stop = None if tag in unended else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if not stop:
+                    unended.add(tag)
                 at = stop.end() if stop else (n if tag in ("script", "style") else at)
                 continue
             if tag in VOID:
@@ -157,8 +167,7 @@ class Page:
                 flush()
             attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
             _, node, dropped = stack[-1]
-            words = attrs.get("class", "") + " " + attrs.get("id", "")
-            dropped = dropped or tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or (tag not in ("body", "html", "article", "main") and not DROPPED_WORDS.isdisjoint(w.lower() for w in _SPLIT.split(words))) or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+            dropped = dropped or tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(_words(tag, attrs)) or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
             if tag == "a":
@@ -166,12 +175,23 @@ class Page:
             if tag in CONTAINER and not dropped:
                 step = re.sub(r"\d+", "", ".".join([tag, *sorted(attrs.get("class", "").split())]))
                 parent, node = node, len(self.nodes)
-                self.nodes.append(Node(tag, f"{self.nodes[parent].path}>{step}", False, parent, begin=len(self.blocks)))
+                self.nodes.append(Node(tag, step, step_key(self.nodes[parent].key, step), parent, begin=len(self.blocks)))
                 self.nodes[parent].children.append(node)
             stack.append((tag, node, dropped))
+            opened[tag] += 1
         close(1)
         flush()
         self.nodes[0].end = len(self.blocks)
+        for node in reversed(self.nodes[1:]):  # a container comes after the one it is in
+            self.nodes[node.parent].chars += node.chars
+            self.nodes[node.parent].links += node.links
+
+    def path(self, k: int) -> str:
+        steps = []
+        while k > 0:
+            steps.append(self.nodes[k].step)
+            k = self.nodes[k].parent
+        return "".join(f">{x}" for x in reversed(steps))
 
     def score(self, k: int) -> float:
         """Clean characters below a container, those in links counted against it."""
@@ -192,11 +212,11 @@ class Page:
     def text(self, k: int) -> str:
         return " ".join(self.blocks[self.nodes[k].begin : self.nodes[k].end])
 
-    def on_path(self, path: str) -> list[int]:
+    def on_path(self, key: int) -> list[int]:
         """The containers on the path that aren't inside another one on it."""
         out, until = [], -1
         for k, node in enumerate(self.nodes):
-            if node.path == path and node.begin >= until:
+            if node.key == key and node.begin >= until:
                 out.append(k)
                 until = node.end
         return out
@@ -204,27 +224,44 @@ class Page:
     def chosen(self, keys: list[int] | None) -> tuple[str, str | None]:
         """(text, path) on the template of the host that fits the page, or of the page's own best container."""
         k = self.best()
-        own, path = self.text(k), self.nodes[k].path
+        own, key = self.text(k), self.nodes[k].key
         if keys:
-            voted = {n.path for n in self.nodes if path_key(n.path) in keys}
-            at = path if path in voted else self._template(voted)
+            voted = {n.key for n in self.nodes} & set(keys)
+            at = key if key in voted else self._template(voted)
             if at is not None:
-                text = " ".join(t for t in map(self.text, self.on_path(at)) if t)
-                if text and (at == path or len(text) >= STRAY_PART * len(own)):
-                    return text, at
-        return own, path if own else None
+                found = self.on_path(at)
+                text = " ".join(t for t in map(self.text, found) if t)
+                if text and (at == key or len(text) >= STRAY_PART * len(own)):
+                    return text, self.path(found[0])
+        return own, self.path(k) if own else None
 
-    def _template(self, voted: set[str]) -> str | None:
+    def _template(self, voted: set[int]) -> int | None:
         """The path whose containers score best, then any inner one that holds most of that, as in ``best``."""
-        score = {p: sum(map(self.score, self.on_path(p))) for p in sorted(voted)}
+        on = {p: self.on_path(p) for p in sorted(voted)}
+        score = {p: sum(map(self.score, ks)) for p, ks in on.items()}
+        above = {p: self._above(ks[0]) for p, ks in on.items()}
         at = max(score, key=score.get, default=None)
         while at is not None:
-            inner = {p: v for p, v in score.items() if p.startswith(f"{at}>") and v >= 0.6 * score[at]}
+            inner = {p: v for p, v in score.items() if at in above[p] and v >= 0.6 * score[at]}
             if not inner or score[at] <= 0:
                 break
             at = max(inner, key=inner.get)
         return at
 
+    def _above(self, k: int) -> set[int]:
+        """The paths of all containers that a container is in."""
+        out = set()
+        while (k := self.nodes[k].parent) > 0:
+            out.add(self.nodes[k].key)
+        return out
+
+
+def _words(tag: str, attrs: dict[str, str]) -> set[str]:
+    """The words by which an element may be left out: all of a box, whole classes of a paragraph or an item, none of what stands in a sentence."""
+    if tag in BOXES:
+        return {w.lower() for w in _SPLIT.split(attrs.get("class", "") + " " + attrs.get("id", ""))}
+    return {w.lower() for w in attrs.get("class", "").split()} if tag in ("p", "li") else set()
+
 
 def _pages(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     ship(df.sparkSession)
@@ -244,7 +281,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     page = Page(source)
                     k = page.best()
                     if page.nodes[k].chars:
-                        at = host, path_key(page.nodes[k].path)
+                        at = host, page.nodes[k].key
                         vote, n = found.get(at, (0.0, 0))
                         found[at] = vote + page.nodes[k].chars ** 0.5, n + 1
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64()), pa.array([v for v, _ in found.values()], pa.float64()), pa.array([n for _, n in found.values()], pa.int64())], ["host", "key", "votes", "n"])

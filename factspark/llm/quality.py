@@ -5,7 +5,7 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. Spa
 are the labels of a linear scorer over hashed byte trigrams, fitted on a bounded sample of ``FIT_ROWS`` documents chosen by hash.
 Every document is then scored over its whole text.
 
-A null or empty text has no trigram and gets the scorer's bias, which favours keeping. Repeated rows get the same score; an empty table
+A null or empty text has no trigram and gets the score of the odds. Repeated rows get the same score; an empty table
 gives an empty result; further columns are left out by ``score`` and kept by ``keep_good``.
 """
 
@@ -24,13 +24,10 @@ from factspark.llm.text import byte_blob, chunks
 #: Documents on which the scorer is fitted; the sample doesn't grow with the corpus.
 FIT_ROWS = 4000
 DIMENSIONS = 1 << 16
-#: Trigrams that a text is taken to have besides its own; keeps short texts near the bias.
+#: Trigrams that a text is taken to have besides its own, each with the sample's odds of good: what little a short text says doesn't outweigh them.
 PRIOR_TRIGRAMS = 40.0
 ROUNDS, STEP, DECAY = 150, 0.5, 1e-5
 KEEP_AT = 0.5
-#: The least bias, in favour of keeping.
-FLOOR = 0.3
-
 LABELLERS = ("symbols", "capitals", "tables", "function_words", "sentences", "repetition", "word_length", "marks", "echo")
 _SPACE, _UPPER, _LOWER, _HIGH, _DIGIT, _STOP, _COMMON = (np.zeros(256, bool) for _ in range(7))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -175,11 +172,12 @@ def _features(text: bytes) -> tuple[bytes, bytes]:
     return ids.astype(np.uint16).tobytes(), (n / (len(text) - 2 + PRIOR_TRIGRAMS)).astype(np.float32).tobytes()
 
 
-def fit_linear(rows: list[tuple[bytes, bytes, float, float]]) -> tuple[np.ndarray, float]:
-    """Rows of (ids, shares, echo, chance of good). Weights, the last for the echo, and bias of a logistic scorer, by full gradient steps with a diagonal scale; both classes weigh the same."""
+def fit_linear(rows: list[tuple[bytes, bytes, float, float]]) -> tuple[np.ndarray, float, float]:
+    """Rows of (ids, shares, echo, chance of good). Weights, the last for the echo, and bias of a logistic scorer, by full gradient steps with a
+    diagonal scale, both classes weighing the same; then the logarithm of the sample's own odds of good."""
     weights, bias = np.zeros(DIMENSIONS + 1), 0.0
     if not rows:
-        return weights, 1.0
+        return weights, 1.0, 0.0
     ids = np.concatenate([*(np.frombuffer(r[0], np.uint16) for r in rows), np.full(len(rows), DIMENSIONS)]).astype(np.int64)
     values = np.concatenate([*(np.frombuffer(r[1], np.float32) for r in rows), np.array([r[2] for r in rows])]).astype(np.float64)
     own = np.concatenate([np.repeat(np.arange(len(rows)), [len(r[0]) // 2 for r in rows]), np.arange(len(rows))])
@@ -195,12 +193,12 @@ def fit_linear(rows: list[tuple[bytes, bytes, float, float]]) -> tuple[np.ndarra
         bias_square += error.sum() ** 2
         weights -= STEP * 4 * slope / np.sqrt(squares)
         bias -= STEP * 0.2 * error.sum() / np.sqrt(bias_square)
-    return weights, max(bias, FLOOR)
+    return weights, bias, float(np.log(share / (1 - share)))
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float, accuracy: np.ndarray):
-        self.weights, self.bias, self.accuracy = weights.astype(np.float32), float(bias), accuracy
+    def __init__(self, weights: np.ndarray, bias: float, odds: float, accuracy: np.ndarray):
+        self.weights, self.bias, self.odds, self.accuracy = weights.astype(np.float32), float(bias), odds, accuracy
 
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offs = byte_blob(texts)
@@ -209,7 +207,7 @@ class Model:
             np.cumsum(self.weights[_trigrams(data)], out=total[1:-2])
             total[-2:] = total[-3]
         stop = np.maximum(offs[1:] - 2, offs[:-1])
-        z = self.bias + (total[stop] - total[offs[:-1]]) / (stop - offs[:-1] + PRIOR_TRIGRAMS) + self.weights[DIMENSIONS] * echoes(texts)
+        z = self.bias + (total[stop] - total[offs[:-1]] + PRIOR_TRIGRAMS * self.odds) / (stop - offs[:-1] + PRIOR_TRIGRAMS) + self.weights[DIMENSIONS] * echoes(texts)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -228,7 +226,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows:
     counted = docs.select("text").mapInArrow(patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3**9 rows at most
     counted = sorted((r["pattern"], r["n"]) for r in counted)
     if not counted:
-        return Model(np.zeros(DIMENSIONS + 1), 1.0, np.ones(len(LABELLERS)))
+        return Model(np.zeros(DIMENSIONS + 1), 1.0, 0.0, np.ones(len(LABELLERS)))
     chance, accuracy = expectation_maximisation(np.array([p for p, _ in counted]), np.array([n for _, n in counted], float))
     total = sum(n for _, n in counted)
 
@@ -241,9 +239,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows:
     place = F.xxhash64("id", "text")
     limit = min(1.0, fit_rows / total)
     chosen = docs.select(place.alias("place"), "text").where(F.col("place") < F.lit(int(-(1 << 63) + limit * ((1 << 64) - 1)) if limit < 1 else (1 << 63) - 1))
-    sample = chosen.mapInArrow(features, "place long, ids binary, parts binary, pattern int, echo double").limit(2 * fit_rows).collect()  # bounded by fit_rows
-    weights, bias = fit_linear([(bytes(r["ids"]), bytes(r["parts"]), r["echo"], chance[r["pattern"]]) for r in sorted(sample, key=lambda r: (r["place"], bytes(r["ids"])))])
-    return Model(weights, bias, accuracy)
+    sample = chosen.mapInArrow(features, "place long, ids binary, parts binary, pattern int, echo double").orderBy("place", "ids").limit(2 * fit_rows).collect()  # bounded by fit_rows
+    weights, bias, odds = fit_linear([(bytes(r["ids"]), bytes(r["parts"]), r["echo"], chance[r["pattern"]]) for r in sorted(sample, key=lambda r: (r["place"], bytes(r["ids"])))])
+    return Model(weights, bias, odds, accuracy)
 
 
 def score(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

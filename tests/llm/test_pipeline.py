@@ -42,7 +42,7 @@ def quality_of(spark, rows, path):
         echo = sum(w in words[max(0, k - 2) : k] for k, w in enumerate(words)) / max(len(words), 1)
         z = model.bias + float(model.weights[quality.DIMENSIONS]) * echo
         at = [(((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for k in range(len(b) - 2)]
-        return z + sum(float(model.weights[a]) for a in at) / (max(len(b) - 2, 0) + quality.PRIOR_TRIGRAMS) >= 0
+        return z + (sum(float(model.weights[a]) for a in at) + quality.PRIOR_TRIGRAMS * model.odds) / (max(len(b) - 2, 0) + quality.PRIOR_TRIGRAMS) >= 0
 
     return [r for r in rows if keep(r[1])]
 
