@@ -102,7 +102,10 @@ def pattern_s(spark, d):
     return out.select(F.col("p.lit").alias("p"), F.coalesce(F.col("o.lit"), key_of("o").cast("string")).alias("v"))
 
 
-QUERIES["predicate_variable"], ORACLE["predicate_variable"] = pattern_s, ORACLE["pattern_s"]
+@register("predicate_variable", "select 'in_region' as p, count(*) as n from nation union all select 'nation_name', count(*) from nation")
+def predicate_variable(spark, d):
+    """How often each predicate stands, by a variable in its place."""
+    return query(facts(spark, d, "in_region", "nation_name"), [Pattern(V("s"), V("p"), V("o"))]).groupBy(F.col("p.lit").alias("p")).agg(F.count("*").alias("n"))
 
 
 @register("pattern_p", "select c_custkey as c, cast(c_nationkey as bigint) as n from customer")
@@ -205,12 +208,6 @@ def limit_before_distinct(spark, d):
     return query(f, [Pattern(Literal("all"), P("supplied_by"), V("s"))], Options(limit=500)).select(key_of("s").alias("s"))
 
 
-@register("sorted_bindings", "select c_custkey as c, row_number() over (order by cast(3 * 1099511627776 + c_custkey as varchar)) as place from customer where c_nationkey = 3")
-def sorted_bindings(spark, d):
-    out = query(facts(spark, d), [Pattern(V("c"), P("in_nation"), Entity(ident("nation", 3)))])
-    return out.select(key_of("c").alias("c"), F.row_number().over(Window.orderBy(F.col("c.ent").cast("string"))).cast("long").alias("place"))
-
-
 _STACK = """with recursive o as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) rn from events where {where}),
 st(user_id, rn, stack) as (select distinct user_id, cast(0 as bigint), cast([] as bigint[]) from o union all
 select o.user_id, o.rn, case when o.event_type = 'error' then case when len(stack) = 0 then stack else stack[1:len(stack)-1] end else list_append(stack, o.event_id) end

@@ -1,5 +1,12 @@
 """Errors of transactions and storage."""
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
+
+#: Failures of Spark, its storage or its connection; no validator's verdict.
+ENGINE = (PySparkException, Py4JError, OSError)
+
 
 class TransactionClosed(RuntimeError):
     """The transaction was committed or rolled back."""

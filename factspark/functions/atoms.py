@@ -47,6 +47,10 @@ def text_key(column: Column) -> Column:
     return F.struct(column["tag"], F.coalesce(column["ent"].cast("string"), column["lit"]))
 
 
+def record_name(rid: Column) -> Column:
+    return F.concat(F.lit("Record_"), rid.cast("string"))
+
+
 def display_slot(ent: Column) -> Column:
     return F.concat(F.lit("display/"), ent.cast("string"))
 

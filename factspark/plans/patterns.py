@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.functions.atoms import is_constant, predicate, text_key
@@ -80,8 +80,9 @@ def query(facts: DataFrame, patterns: list[Pattern], options: Options = Options(
         frame = frame.orderBy(*rids).limit(max(1, options.limit))
     if options.distinct:
         if options.provenance:
-            first = Window.partitionBy(*(names or [F.lit(1)])).orderBy(*rids)
-            frame = frame.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+            first = F.min(F.struct(*[F.struct(r, f"_slot{k}").alias(f"x{k}") for r, k in zip(rids, order, strict=True)])).alias("_first")
+            frame = frame.groupBy(*names).agg(first).where("_first is not null")
+            frame = frame.select(*names, *[F.col(f"_first.x{k}._slot{k}").alias(f"_slot{k}") for k in order])
         else:
             frame = frame.dropDuplicates(names) if names else frame.limit(1)
     columns = [F.col(v) for v in names] or [F.lit(True).alias("_row")]

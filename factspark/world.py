@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from factspark.functions.atoms import ATOM, rendered, row_of, value_of
 from factspark.operators import stack
@@ -16,6 +19,14 @@ LOG = f"version long, rid long, kind string, slot string, s {ATOM}, p string, o
 DISPLAY, RESOLVES = Predicate("display_name"), Predicate("resolves_to")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """Rows of the driver as a local relation, which needs no job to read."""
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    table = pa.table([pa.array([dict(zip(f.dataType.names, x, strict=True)) if isinstance(f.dataType, StructType) and x is not None else x for x in c], to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], kind.names)
+    return spark.createDataFrame(table, kind).coalesce(1)  # one task, and what is done with it needs no exchange
+
+
 def op_row(version: int, rid: int, kind: str, slot: str, fact: Fact | None) -> tuple:
     return version, rid, kind, slot, row_of(fact.s) if fact else None, fact.p.name if fact else None, row_of(fact.o) if fact else None
 
@@ -24,7 +35,8 @@ class World:
     """An immutable version; its DataFrames are those of the log up to it. Where ``resumed`` is given (a checkpoint's stacks and newer ops),
     heads and stacks come from it, and only histories and counts of records from the log."""
 
-    def __init__(self, spark: SparkSession, log: DataFrame, version: int, digest: str, next_entity: int, resumed: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, log: DataFrame, version: int, digest: str, next_entity: int, resumed: DataFrame | None = None, small: bool = False):
+        self.small = small  # the log is the driver's own, so its heads may be held there as well
         self.spark, self.version, self.digest, self.next_entity = spark, version, digest, next_entity
         self.log = log.where(F.col("version") <= version)
         self.short = self.log if resumed is None else resumed
@@ -34,6 +46,8 @@ class World:
     def active(self) -> DataFrame:
         if self._active is None:
             self._active = stack.active(self.short).select("slot", "rid", "s", "p", "o")
+            if self.small:
+                self._active = local(self.spark, [tuple(r) for r in self._active.collect()], self._active.schema)
         return self._active
 
     def query(self, patterns: list[Pattern], options: Options = Options()) -> DataFrame:
@@ -45,7 +59,7 @@ class World:
         return [{k: (list(v) if k == "provenance" else value_of(v)) for k, v in r.asDict(recursive=False).items() if k != "_row"} for r in rows]
 
     def resolve(self, slot: str) -> Fact | None:
-        r = stack.active(self.short.where(F.col("slot") == slot)).first()
+        r = (self.active.where(F.col("slot") == slot) if self.small else stack.active(self.short.where(F.col("slot") == slot))).first()
         return None if r is None else Fact(value_of(r["s"]), Predicate(r["p"]), value_of(r["o"]))
 
     def definitions(self, slot: str) -> list[Fact]:

@@ -131,7 +131,7 @@ def test_recovery(spark, tmp_path):
     with Transaction(store) as tx:
         tx.define("a", fact(1))
     with pytest.raises(OSError):  # a file without a manifest is no commit, and doesn't stand in the way
-        store.append(store.head, [], 1, fail_before_manifest=True)
+        store.append(store.head, [], 1, fail_before="manifest")
     other = ParquetStore(spark, str(folder))
     with Transaction(other) as tx:
         tx.define("b", fact(2))
