@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars is that of the text that is left."""
-    return lines.dedup_lines(docs, carry=True).withColumn("n_chars", F.length("text").cast("long"))
+    """Repeated runs of lines go; n_chars is that of the text that is left. A line by itself goes from five words on, so that documents of a
+    word or two, which others hold by chance, aren't emptied."""
+    return lines.dedup_lines(docs, carry=True, least_words=5).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factspark.llm.lines import LINE_WORDS
-from factspark.llm.sentences import PAIR_WORDS, SPAN, SPAN_WORDS
+from factspark.llm.lines import LEAST_WORDS
+from factspark.llm.sentences import PAIR_WORDS, SPAN
 from factspark.llm.suffix import LENGTH
 
 _BLANK = "chr(9) || chr(11) || chr(12) || chr(13) || ' '"
@@ -15,6 +15,8 @@ _REPEATS = """
      gone as (select distinct doc_id, unnest(range(k, k + width)) as k from ranked where copy > 1),
      marked as (select p.doc_id, p.k, p.piece, g.k is not null as drop from pieces p left join gone g on p.doc_id = g.doc_id and p.k = g.k),
      edged as (select *, drop and not coalesce(lag(drop) over (partition by doc_id order by k), false) as edge from marked),
+     grouped as (select *, sum(edge::int) over (partition by doc_id order by k) as run from edged),
+     long as (select doc_id, max(n) as longest from (select doc_id, run, count(*) as n from grouped where drop group by all) group by doc_id),
      summed as (select doc_id, count(*) as n, count(*) filter (drop) as removed, count(*) filter (edge) as runs,
                        coalesce(string_agg(piece, '' order by k) filter (not drop), '') as kept from edged group by doc_id)
 """
@@ -27,11 +29,12 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
      pieces as (select doc_id, k::bigint as k, string_agg(line || case when n < lines then chr(10) else '' end, '' order by n) as piece, max(solid) as solid,
                        len(regexp_extract_all(max(solid), '{_WORD}')) as words from placed group by all having max(solid) <> ''),
      pairs as (select *, lead(solid) over (partition by doc_id order by k) as following from pieces),
-     windows as (select doc_id, k, 1 as width, solid as key from pieces where words >= {LINE_WORDS}
+     windows as (select doc_id, k, 1 as width, solid as key from pieces where words >= {LEAST_WORDS}
                  union all select doc_id, k, 2, solid || chr(10) || following from pairs where following is not null),
 {_REPEATS}
-select doc_id, coalesce(n, 0)::bigint as n_lines, coalesce(removed, 0)::bigint as n_removed, coalesce(runs, 0)::bigint as n_runs, coalesce(kept, text) as text
-from d left join summed using (doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_lines, coalesce(removed, 0)::bigint as n_removed, coalesce(runs, 0)::bigint as n_runs, coalesce(longest, 0)::bigint as longest_run,
+       coalesce(kept, text) as text
+from d left join summed using (doc_id) left join long using (doc_id)
 """
 
 # Sentences are cut by a control character after each end; a piece without a word, and what stands before a piece's first word, go to the one before.
@@ -48,7 +51,7 @@ with d as (select doc_id, coalesce(text, '') as text from documents),
      pieces as (select doc_id, k::bigint as k, string_agg(bit, '' order by n, side) as piece, array_to_string(any_value(w), ' ') as said, len(any_value(w)) as words
                 from bits group by all having any_value(w) is not null),
      runs as (select *, {", ".join(f"lead(said, {j}) over o as s{j}, lead(words, {j}) over o as n{j}" for j in range(1, SPAN))} from pieces window o as (partition by doc_id order by k)),
-     windows as (select doc_id, k, {SPAN} as width, {" || '|' || ".join(["said", *(f"s{j}" for j in range(1, SPAN))])} as key from runs where {" + ".join(["words", *(f"n{j}" for j in range(1, SPAN))])} >= {SPAN_WORDS}
+     windows as (select doc_id, k, {SPAN} as width, {" || '|' || ".join(["said", *(f"s{j}" for j in range(1, SPAN))])} as key from runs where s{SPAN - 1} is not null
                  union all select doc_id, k, 2, said || '|' || s1 from runs where words + n1 >= {PAIR_WORDS}),
 {_REPEATS}
 select doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(removed, 0)::bigint as n_removed, coalesce(runs, 0)::bigint as n_runs, coalesce(kept, text) as text

@@ -1,4 +1,4 @@
-"""Removal of repeated runs of pieces (lines or sentences): what line dedup and substring dedup share."""
+"""Removal of repeated runs of sentences by a global join of their hashes."""
 
 from __future__ import annotations
 

@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``SPAN`` consecutive sentences is hashed, and so is every run of two that has ``PAIR_WORDS`` words; the hashes are joined
+Every run of ``SPAN`` consecutive sentences is hashed, however short, and beyond these every run of two that has ``PAIR_WORDS`` words; the hashes are joined
 globally (``first_seen``), and each sentence that is covered by a run which is not the first of its kind, in order of (doc_id, place),
 is removed. Sentences end at ``.``, ``!`` or ``?`` before white space and at line ends; they are compared by their words, without case and
-punctuation. A piece without a word belongs to the sentence before it. Runs of fewer than ``SPAN_WORDS`` words don't count.
+punctuation. A piece without a word belongs to the sentence before it.
 
-A null text is empty and stays so; rows with equal id and text are one document; a null id is the least one.
+A null text is empty and stays so; rows with equal id and text are one document; texts of one id are ordered by their hash; a null id is the least one.
+Other columns are kept by ``carry`` only, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from factspark.llm.pieces import remove_repeats
 from factspark.llm.text import raw_words, sequence_hashes
 
-SPAN, SPAN_WORDS, PAIR_WORDS = 3, 12, 20
+SPAN, PAIR_WORDS = 3, 20
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _SPACE = np.zeros(256, bool)
@@ -46,7 +47,7 @@ def sentence_runs(value: np.ndarray, words: np.ndarray, offs: np.ndarray) -> lis
     out = []
     total = np.concatenate(([0], np.cumsum(words)))
     left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(value))  # pieces from here to the end of the text
-    for width, least in ((SPAN, SPAN_WORDS), (2, PAIR_WORDS)):
+    for width, least in ((SPAN, 0), (2, PAIR_WORDS)):
         first = np.flatnonzero(left >= width)
         first = first[total[first + width] - total[first] >= least]
         out.append((first, width, sequence_hashes(value, first, first + width)))

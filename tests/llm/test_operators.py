@@ -216,13 +216,13 @@ def _removed(rows, cut, windows):
     return out
 
 
-
-def test_line_dedup(spark, docs):
+@pytest.mark.parametrize("least", [0, 5])
+def test_line_dedup(spark, docs, least):
     rows = [r for r in docs[0] if r[0] != 9]
     df = spark.createDataFrame([(i, t, "i", "t", 1) for i, t in rows], SCHEMA)
     count = lambda s: len(re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", s))
-    want = _removed(rows, lambda t: [x.strip() for x in t.split("\n") if x.strip()], [(1, lambda w: count(w[0]) >= 5), (2, lambda w: True)])
-    for r in lines.dedup_lines(df).collect():
+    want = _removed(rows, lambda t: [x.strip() for x in t.split("\n") if x.strip()], [(1, lambda w: count(w[0]) >= least), (2, lambda w: True)])
+    for r in lines.dedup_lines(df, least_words=least).collect():
         i = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
         assert r["n_removed"] in {n for (k, _), n in want.items() if k == i}
         if r["n_removed"] == 0:
@@ -232,6 +232,42 @@ def test_line_dedup(spark, docs):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_suffixes(spark):
+    """Ranks are an order of suffixes, and covers the longest power of two (or rest) that an earlier place has."""
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choices("abc", k=rng.randint(1, 12))) for _ in range(25)] + ["\n".join("xy" * 20), "\n".join("xy" * 20 + "z"), "\n".join("x" * 33), "q\nr", "q"]
+    texts += [texts[3], texts[25]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    own = lines._lines(lines.documents(df).withColumn("tag", lines.F.hash("text")).withColumn("doc", lines.F.xxhash64("id", "text")))
+    got = {(r["id"], r["place"]): r for r in lines.suffix_ranks(own).collect()}
+    said = [t.split("\n") for t in texts]
+    every = [(i, k) for i, t in enumerate(said) for k in range(len(t))]
+    times = collections.Counter(x for t in said for x in t)
+    assert set(got) == {(i, k) for i, k in every if times[said[i][k]] > 1}
+
+    def common(a, b):
+        n = 0
+        for x, y in zip(said[a[0]][a[1] :], said[b[0]][b[1] :], strict=False):
+            if x != y:
+                break
+            n += 1
+        return n
+
+    order = sorted(got, key=lambda p: (got[p]["rank"], got[p]["sub"], p))
+    near = [common(x, y) for x, y in zip(order, order[1:], strict=False)]
+    for x in range(0, len(order), 7):  # the common prefix of any two is the least of those between them
+        for y in range(x + 1, min(len(order), x + 40)):
+            assert common(order[x], order[y]) == min(near[x:y])
+    for p, r in got.items():
+        rest = len(said[p[0]]) - p[1]
+        shared = {q: common(p, q) for q in every if q < p}
+        n = max(shared.values(), default=0)
+        best = 1 << (n.bit_length() - 1) if n else 0
+        if any(c == rest == len(said[q[0]]) - q[1] for q, c in shared.items()):
+            best = rest
+        assert (r["left"], r["cover"]) == (rest, best), (p, r, n)
+
+
 def test_span_dedup(spark, docs):
     rows = [r for r in docs[0] if r[0] != 9]
     df = spark.createDataFrame([(i, t, "i", "t", 1) for i, t in rows], SCHEMA)
@@ -241,7 +277,7 @@ def test_span_dedup(spark, docs):
         return [s for s in found if s]
 
     total = lambda w: sum(map(len, w))
-    want = _removed(rows, cut, [(3, lambda w: total(w) >= sentences.SPAN_WORDS), (2, lambda w: total(w) >= sentences.PAIR_WORDS)])
+    want = _removed(rows, cut, [(3, lambda w: True), (2, lambda w: total(w) >= sentences.PAIR_WORDS)])
     for r in sentences.remove_repeated_spans(df).collect():
         i = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
         assert r["n_removed"] in {n for (k, _), n in want.items() if k == i}, (r, want)
