@@ -16,6 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, fitted on this input, rejects go; a null text is scored as an empty one, equal texts alike; a score at the bound stays."""
     return quality.keep_good(docs)
 
 
@@ -31,11 +32,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go, every row of such an id; a null text or item holds nothing, and rows without an id count as one id."""
     return containment.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; a null text has no token."""
     return bpe.round_trip(docs, vocabulary_path(), with_ids=True)
 
 

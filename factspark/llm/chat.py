@@ -481,16 +481,25 @@ def format_digests(df: DataFrame, template: str = TEMPLATE, conv_col: str = "con
 
     def digest(key: int, messages: Iterator[dict]) -> list:
         reader, turns, loss = Reader(), hashlib.sha256(), hashlib.sha256()
-        n = chars = learned_chars = 0
+        n = chars = learned_chars = begun = 0
+        held, spans = "", []  # the output from place ``begun`` on, and the spans of the mask in it
         for piece, learned in compiled.render(messages):
-            chars += len(piece)
             if learned:
-                plain = unescape(piece)
-                learned_chars += len(plain)
-                loss.update(plain.encode())
+                spans.append((chars, chars + len(piece)))
+            held, chars = held + piece, chars + len(piece)
             for role, text in reader.feed(piece):
                 n += 1
                 turns.update(f"{role}\n{text}\n".encode())
+            if not learned:  # no span goes on: what the mask covers is read from the output
+                for x, y in spans:
+                    plain = unescape(held[x - begun : y - begun])
+                    learned_chars += len(plain)
+                    loss.update(plain.encode())
+                held, begun, spans = "", chars, []
+        for x, y in spans:
+            plain = unescape(held[x - begun : y - begun])
+            learned_chars += len(plain)
+            loss.update(plain.encode())
         if reader.rest:
             raise ValueError(f"conversation {key} can't be read back")
         return [key, n, turns.hexdigest(), learned_chars, loss.hexdigest(), chars]
