@@ -32,8 +32,8 @@ BANDS, ROWS = 30, 6  # a pair at 0.8 is missed with a probability of 1e-4, one a
 SHARP_BANDS, SHARP_ROWS = 250, 16  # one at 0.8 is missed with 8e-4
 SAMPLES = BANDS * ROWS + SHARP_BANDS * SHARP_ROWS
 SKETCH, DEVIATIONS = 2048, 3.5
-#: Keys that may be broadcast: some 10 MB.
-BROADCAST_KEYS = 250_000
+#: Keys of 8 bytes that may be broadcast, some 20 MB; beyond it tables are joined.
+BROADCAST_KEYS = 500_000
 _WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
@@ -99,10 +99,14 @@ def _sharp(docs: DataFrame, like: Similarity) -> DataFrame:
     return found.groupBy("rep").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A checkpointed table of keys, broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents of the keys, which are broadcast if they are few."""
-    keys = keys.select("key").distinct()
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    """The documents of the keys."""
+    return docs.join(_sized(keys.select("key").distinct().checkpoint()), "key", "left_semi")
 
 
 def similarity(left: pa.Array, right: pa.Array, like: Similarity) -> np.ndarray:
@@ -134,11 +138,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Similarity, threshold: fl
     return both.mapInArrow(run, "a long, b long")
 
 
-def _members(texts: DataFrame) -> DataFrame:
+def _members(texts: DataFrame, tasks: int) -> DataFrame:
     """(band, rep) of the buckets that hold two texts or more."""
     split = texts.select("rep", F.explode("bands").alias("band"))
-    crowded = split.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return split.join(crowded, "band").select("band", "rep").checkpoint()
+    crowded = split.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band").coalesce(tasks).checkpoint()
+    return split.join(_sized(crowded), "band").select("band", "rep").checkpoint()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,16 +181,17 @@ def classes(docs: DataFrame, like: Similarity, threshold: float = THRESHOLD) ->
     """(id, key, class) of each row of docs (id, text, key), in which no id is null; the class is the key of one of its documents."""
     shared_dir(docs.sparkSession)
     signed = _signed(docs, like).checkpoint()
-    texts = signed.groupBy("digest").agg(F.min_by(F.struct("key", "bands"), "key").alias("x")).select("digest", F.col("x.key").alias("rep"), F.col("x.bands").alias("bands"))
-
     tasks = tasks_for(signed.count())  # of tables with a few rows for each text that has a near copy
-    members = _members(texts)
+    named = signed.select("id", "key", "digest").join(signed.groupBy("digest").agg(F.min("key").alias("rep")), "digest").select("id", "key", "rep").checkpoint()
+    again = _sized(named.where("key <> rep").select("key").distinct().coalesce(tasks).checkpoint())
+    texts = signed.join(again, "key", "left_anti").select(F.col("key").alias("rep"), "bands")
+    members = _members(texts, tasks).distinct()  # a repeated row is one text
     tested = _star(members.withColumn("label", F.col("rep"))).coalesce(tasks).checkpoint()
     labels = components(_verified(tested, docs, like, threshold).coalesce(2 * tasks).checkpoint())
 
     unsure = _mixed(members, labels).select(F.col("rep").alias("key")).distinct().coalesce(tasks).checkpoint()
     sharp = _sharp(_only(docs, unsure), like).checkpoint()
-    members = _members(sharp.select("rep", "bands"))
+    members = _members(sharp.select("rep", "bands"), tasks)
     sketches = sharp.select("rep", *[F.col("sketch")[k].alias(w) for k, w in enumerate(_WORDS)])
     for choose in (_star, lambda placed: _likely(placed, sketches, threshold)):
         placed = _mixed(members, labels).coalesce(2 * tasks).checkpoint()
@@ -194,5 +199,4 @@ def classes(docs: DataFrame, like: Similarity, threshold: float = THRESHOLD) ->
         tested = tested.unionByName(pairs)
         labels = _joined(labels, _verified(pairs, docs, like, threshold).coalesce(2 * tasks).checkpoint())
 
-    named = signed.select("id", "key", "digest").join(texts.select("digest", "rep"), "digest").select("id", "key", "rep")
     return named.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "key", F.coalesce("label", "rep").alias("class"))
