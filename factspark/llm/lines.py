@@ -154,7 +154,7 @@ def _ranked(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
         first = starts[mine]
         left = table["left"].to_numpy()
         common = np.minimum(2 * width, left)
-        later = base + at > first
+        later = (base + at > first) & (common > 1)  # the first round has decided on single lines
         cover = np.where(later, np.maximum(table["cover"].to_numpy(), common), table["cover"].to_numpy())
         sub = table["sub"].to_numpy() + first - groups[np.searchsorted(group, at, side="right") - 1]
         given = [table[c].combine_chunks() for c in ("doc", "place", "left", "id", "tag", "rank")]
