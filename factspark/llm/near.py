@@ -1,7 +1,7 @@
 """Classes of near texts, whatever the similarity: bands of samples joined in Spark, then verified pairs.
 
-A document is an id with a text; rows equal in both are one document. Texts with the same words are one text, which one of its documents
-stands for. In a band bucket every text is held against the one of least key. Texts that then share a bucket with a text of another class
+A document is an id with a text; rows equal in both are one document. Texts with the same words are one text, named by 64 bits of a digest of them, which
+one of its documents stands for. In a band bucket every text is held against the one of least key. Texts that then share a bucket with a text of another class
 are sampled again: ``SHARP_BANDS`` longer bands, and a sketch of ``SKETCH`` bits, one for each of as many samples. In the sharp buckets
 every text is held against the least one once more, which joins what belongs together; then all texts of a bucket that still lie in different
 classes are compared by their sketches within the join. Only pairs whose sketches differ no more than those of a pair at the threshold do
@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factspark.llm.buckets import members
 from factspark.llm.graph import components, tasks_for
+from factspark.llm.sieve import passing
 from factspark.llm.text import chunks, mix, word_hashes
 from factspark.session import shared_dir
 
@@ -32,8 +34,8 @@ BANDS, ROWS = 30, 6  # a pair at 0.8 is missed with a probability of 1e-4, one a
 SHARP_BANDS, SHARP_ROWS = 250, 16  # one at 0.8 is missed with 8e-4
 SAMPLES = BANDS * ROWS + SHARP_BANDS * SHARP_ROWS
 SKETCH, DEVIATIONS = 2048, 3.5
-#: Keys of 8 bytes that may be broadcast, some 20 MB; beyond it tables are joined.
-BROADCAST_KEYS = 500_000
+#: Names and keys of texts that may be broadcast, some 10 MB.
+BROADCAST_KEYS = 250_000
 _WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
@@ -71,7 +73,7 @@ def _lists(values: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
 
 
 def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
-    """(id, key, digest, bands) of each row; a text without a word has null bands."""
+    """(id, key, rep, bands) of each row; rep names the text by a digest of its words; a text without a word has null bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,34 +81,36 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
                 words, offs = word_hashes(b["text"][i:j])
                 bands, _ = banded(like.sample(words, offs, 0, BANDS * ROWS), j - i, BANDS, ROWS)
                 raw, none = words.tobytes(), np.diff(offs) == 0
-                digests = [hashlib.md5(raw[8 * x : 8 * y] if y > x else b"\0" + b["text"][i + k].as_py().encode()).digest() for k, (x, y) in enumerate(zip(offs[:-1], offs[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([b["id"][i:j], b["key"][i:j], pa.array(digests, pa.binary()), _lists(bands, none)], ["id", "key", "digest", "bands"])
+                digests = [hashlib.md5(raw[8 * x : 8 * y] if y > x else b"\0" + b["text"][i + k].as_py().encode()).digest()[:8] for k, (x, y) in enumerate(zip(offs[:-1], offs[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([b["id"][i:j], b["key"][i:j], pa.array(np.frombuffer(b"".join(digests), np.int64)), _lists(bands, none)], ["id", "key", "rep", "bands"])
 
-    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, digest binary, bands array<long>")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, rep long, bands array<long>")
 
 
-def _sharp(docs: DataFrame, like: Similarity) -> DataFrame:
-    """(rep, bands, sketch) of each row."""
+def _sharp(texts: DataFrame, like: Similarity) -> DataFrame:
+    """(rep, bands, sketch) of each text (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["text"]):
                 words, offs = word_hashes(b["text"][i:j])
                 bands, sketch = banded(like.sample(words, offs, BANDS * ROWS, SHARP_BANDS * SHARP_ROWS), j - i, SHARP_BANDS, SHARP_ROWS, SKETCH)
-                yield pa.RecordBatch.from_arrays([b["key"][i:j], _lists(bands), _lists(sketch)], ["rep", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([b["rep"][i:j], _lists(bands), _lists(sketch)], ["rep", "bands", "sketch"])
 
-    found = docs.select("key", "text").mapInArrow(run, "rep long, bands array<long>, sketch array<long>")
+    found = texts.select("rep", "text").mapInArrow(run, "rep long, bands array<long>, sketch array<long>")
     return found.groupBy("rep").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """A checkpointed table of keys, broadcast if they are few."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def _only(docs: DataFrame, standing: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the texts named, by the document that stands for each; a repeated row of it comes again.
 
-
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents of the keys."""
-    return docs.join(_sized(keys.select("key").distinct().checkpoint()), "key", "left_semi")
+    Few keys are broadcast. Else a Bloom filter of bounded size holds most other documents back from the join.
+    """
+    wanted = standing.join(reps.distinct(), "rep", "left_semi").checkpoint()
+    count = wanted.count()
+    if count <= BROADCAST_KEYS:
+        return docs.join(F.broadcast(wanted), "key").select("rep", "text")
+    return docs.where(passing(wanted.select("key"), count, F.col("key"))).join(wanted, "key").select("rep", "text")
 
 
 def similarity(left: pa.Array, right: pa.Array, like: Similarity) -> np.ndarray:
@@ -123,8 +127,8 @@ def similarity(left: pa.Array, right: pa.Array, like: Similarity) -> np.ndarray:
     return np.divide(both, whole, out=np.zeros(n), where=whole > 0)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, like: Similarity, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) those that are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, standing: DataFrame, like: Similarity, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of texts those that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,19 +136,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Similarity, threshold: fl
                 good = pa.array(similarity(b["ta"][i:j], b["tb"][i:j], like) >= threshold)
                 yield pa.RecordBatch.from_arrays([b["a"][i:j].filter(good), b["b"][i:j].filter(good)], ["a", "b"])
 
-    texts = _only(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))).dropDuplicates(["key"])
-    left = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    texts = _only(docs, standing, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))).dropDuplicates(["rep"])
+    left = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    both = left.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _members(texts: DataFrame, tasks: int) -> DataFrame:
-    """(band, rep) of the buckets that hold two texts or more."""
-    split = texts.select("rep", F.explode("bands").alias("band"))
-    crowded = split.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band").coalesce(tasks).checkpoint()
-    return split.join(_sized(crowded), "band").select("band", "rep").checkpoint()
-
-
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, rep, label) in the buckets that hold texts of two classes or more."""
     placed = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
@@ -178,25 +175,24 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, like: Similarity, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, key, class) of each row of docs (id, text, key), in which no id is null; the class is the key of one of its documents."""
+    """(id, key, class) of each row of docs (id, text, key), in which no id is null; the class is the name of one of its texts."""
     shared_dir(docs.sparkSession)
     signed = _signed(docs, like).checkpoint()
-    tasks = tasks_for(signed.count())  # of tables with a few rows for each text that has a near copy
-    named = signed.select("id", "key", "digest").join(signed.groupBy("digest").agg(F.min("key").alias("rep")), "digest").select("id", "key", "rep").checkpoint()
-    again = _sized(named.where("key <> rep").select("key").distinct().coalesce(tasks).checkpoint())
-    texts = signed.join(again, "key", "left_anti").select(F.col("key").alias("rep"), "bands")
-    members = _members(texts, tasks).distinct()  # a repeated row is one text
-    tested = _star(members.withColumn("label", F.col("rep"))).coalesce(tasks).checkpoint()
-    labels = components(_verified(tested, docs, like, threshold).coalesce(2 * tasks).checkpoint())
-
-    unsure = _mixed(members, labels).select(F.col("rep").alias("key")).distinct().coalesce(tasks).checkpoint()
-    sharp = _sharp(_only(docs, unsure), like).checkpoint()
-    members = _members(sharp.select("rep", "bands"), tasks)
+    count = signed.count()
+    tasks = tasks_for(count)  # of tables with a few rows for each text that has a near copy
+    standing = signed.groupBy("rep").agg(F.min("key").alias("key")).checkpoint()
+    shared = members(signed, count * BANDS).checkpoint()
+    tested = _star(shared.withColumn("label", F.col("rep"))).coalesce(tasks).checkpoint()
+    labels = components(_verified(tested, docs, standing, like, threshold).coalesce(2 * tasks).checkpoint())
+
+    unsure = _mixed(shared, labels).select("rep").distinct().coalesce(tasks).checkpoint()
+    sharp = _sharp(_only(docs, standing, unsure), like).checkpoint()
+    shared = members(sharp, unsure.count() * SHARP_BANDS).checkpoint()
     sketches = sharp.select("rep", *[F.col("sketch")[k].alias(w) for k, w in enumerate(_WORDS)])
     for choose in (_star, lambda placed: _likely(placed, sketches, threshold)):
-        placed = _mixed(members, labels).coalesce(2 * tasks).checkpoint()
+        placed = _mixed(shared, labels).coalesce(2 * tasks).checkpoint()
         pairs = choose(placed).join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
         tested = tested.unionByName(pairs)
-        labels = _joined(labels, _verified(pairs, docs, like, threshold).coalesce(2 * tasks).checkpoint())
+        labels = _joined(labels, _verified(pairs, docs, standing, like, threshold).coalesce(2 * tasks).checkpoint())
 
-    return named.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "key", F.coalesce("label", "rep").alias("class"))
+    return signed.select("id", "key", "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", "key", F.coalesce("label", "rep").alias("class"))
