@@ -105,12 +105,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def members(texts: DataFrame, bands: int) -> DataFrame:
-    """(band, rep), each once, of the buckets that hold two texts or more, from ``texts`` (rep, bands), about so many bands in all.
+    """(band, rep) of the buckets that hold two texts or more, from ``texts`` (rep, bands), about so many bands in all.
 
-    A text may come in several rows; one whose list is null is in no bucket.
+    A text whose list is null is in no bucket. Only a text of several rows may come several times in a bucket.
     """
     n = partitions(texts.sparkSession)
     ranges = n * (1 + bands // (n * RANGE_BANDS))
     sent = texts.select("rep", "bands").mapInArrow(_sender(ranges), "range long, keys binary, reps binary, shared binary")
     to = F.pmod(F.when(F.col("range") < 0, -1 - F.col("range")).otherwise(F.col("range")), F.lit(n)).cast("int")
-    return sent.repartitionById(n, to).sortWithinPartitions("range").mapInArrow(_meet, "band long, rep long").distinct()
+    return sent.repartitionById(n, to).sortWithinPartitions("range").mapInArrow(_meet, "band long, rep long")

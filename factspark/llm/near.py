@@ -142,27 +142,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, standing: DataFrame, like: Simi
     return both.mapInArrow(run, "a long, b long")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, label) in the buckets that hold texts of two classes or more."""
-    placed = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, rep, label) of all members; a text without an edge is labelled by itself."""
+    return members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(band, rep, label, least) in the buckets that hold texts of two classes or more; least is the bucket's least label."""
+    mixed = placed.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "least")
     return placed.join(mixed, "band")
 
 
 def _star(placed: DataFrame) -> DataFrame:
     """Pairs of each text with the least one of its bucket, unless they have one label."""
-    head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h"))
-    return placed.join(head, "band").where("rep <> h.rep and label <> h.label").select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    head = placed.groupBy("band").agg(F.min_by(F.struct("rep", "label"), "rep").alias("h")).select("band", F.col("h.rep").alias("least"), F.col("h.label").alias("its"))
+    return placed.join(head, (placed["band"] == head["band"]) & (F.col("rep") != F.col("least")) & (F.col("label") != F.col("its"))).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _likely(placed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts of one bucket and two classes whose sketches are near enough; the others never leave the join."""
+def _likely(mixed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts of one bucket and two classes whose sketches are near enough; the others never leave the join.
+
+    A pair is looked for from its text of the greater label. A label is the least name in its class, so that of a large class is mostly the
+    bucket's least, and the many texts of such a class are on one side only.
+    """
     mean = SKETCH * (1 - threshold) / 2
     most = int(mean + DEVIATIONS * (mean * (1 + threshold) / 2) ** 0.5)
-    one = placed.join(sketches, "rep")
-    other = one.select("band", F.col("rep").alias("b"), F.col("label").alias("other"), *[F.col(w).alias(f"o{w}") for w in _WORDS])
+    one = mixed.where("label <> least").join(sketches, "rep")
+    other = mixed.join(sketches, "rep").select(F.col("band").alias("at"), F.col("rep").alias("b"), F.col("label").alias("other"), *[F.col(w).alias(f"o{w}") for w in _WORDS])
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in _WORDS), F.lit(0))
-    return one.join(other, (one["band"] == other["band"]) & (F.col("rep") < F.col("b")) & (F.col("label") != F.col("other")) & (differ <= most)).select(F.col("rep").alias("a"), "b").distinct()
+    found = one.join(other, (F.col("band") == F.col("at")) & (F.col("other") < F.col("label")) & (differ <= most))
+    return found.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,17 +190,16 @@ def classes(docs: DataFrame, like: Similarity, threshold: float = THRESHOLD) ->
     count = signed.count()
     tasks = tasks_for(count)  # of tables with a few rows for each text that has a near copy
     standing = signed.groupBy("rep").agg(F.min("key").alias("key")).checkpoint()
-    shared = members(signed, count * BANDS).checkpoint()
+    shared = members(signed, count * BANDS).distinct().checkpoint()  # equal texts of several tasks come again
     tested = _star(shared.withColumn("label", F.col("rep"))).coalesce(tasks).checkpoint()
     labels = components(_verified(tested, docs, standing, like, threshold).coalesce(2 * tasks).checkpoint())
 
-    unsure = _mixed(shared, labels).select("rep").distinct().coalesce(tasks).checkpoint()
+    unsure = _mixed(_placed(shared, labels)).select("rep").distinct().coalesce(tasks).checkpoint()
     sharp = _sharp(_only(docs, standing, unsure), like).checkpoint()
     shared = members(sharp, unsure.count() * SHARP_BANDS).checkpoint()
     sketches = sharp.select("rep", *[F.col("sketch")[k].alias(w) for k, w in enumerate(_WORDS)])
-    for choose in (_star, lambda placed: _likely(placed, sketches, threshold)):
-        placed = _mixed(shared, labels).coalesce(2 * tasks).checkpoint()
-        pairs = choose(placed).join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
+    for choose in (_star, lambda placed: _likely(_mixed(placed).coalesce(2 * tasks).checkpoint(), sketches, threshold)):
+        pairs = choose(_placed(shared, labels)).join(tested, ["a", "b"], "left_anti").coalesce(tasks).checkpoint()
         tested = tested.unionByName(pairs)
         labels = _joined(labels, _verified(pairs, docs, standing, like, threshold).coalesce(2 * tasks).checkpoint())
 
