@@ -18,33 +18,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factspark.llm.frames import documents, public_id
-from factspark.llm.text import byte_blob, chunks, keep_pieces, raw_words, span_hashes
+from factspark.llm.text import byte_blob, chunks, owners, segment_min, span_hashes, word_bounds
 from factspark.session import shared_dir
 
 LEAST_WORDS = 0
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def cut_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that aren't blank: where each starts, its hash, its number of words, and the offsets of each text's lines."""
-    solid = np.flatnonzero(~_BLANK[data])
-    if not len(solid):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    ends = np.flatnonzero(data == 10)
-    line = np.searchsorted(ends, solid)
-    new = np.ones(len(line), bool)
-    new[1:] = line[1:] != line[:-1]
-    first = np.flatnonzero(new)
-    starts = solid[first]
-    stops = solid[np.append(first[1:], len(solid)) - 1] + 1
-    words, _ = raw_words(data)
-    begins = np.where(line[first] > 0, ends[line[first] - 1] + 1, 0)  # with the blanks before the line
-    return begins, span_hashes(data, starts, stops), np.searchsorted(words, stops) - np.searchsorted(words, starts), np.searchsorted(begins, offs)
+    """Lines that aren't blank: where each begins, where what is left of it without the blanks around it starts and stops, and the offsets of each text's lines."""
+    solid = np.zeros(len(data) + 2, bool)
+    np.logical_and(data != 32, data - np.uint8(9) > 4, out=solid[1:-1])  # the others are tab, line feed, vertical tab, form feed, return and space
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, stops = edge[::2], edge[1::2]
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    after = np.searchsorted(starts, ends)  # a stretch without blanks lies within a line
+    before = np.append(0, after[:-1])
+    has = np.flatnonzero(after > before)
+    begins = np.append(0, ends[:-1] + 1)[has]  # with the blanks before the line
+    return begins, starts[before[has]], stops[after[has] - 1], np.searchsorted(begins, offs)
+
+
+def without_lines(data: np.ndarray, offs: np.ndarray, begins: np.ndarray, at: np.ndarray, gone: np.ndarray) -> tuple[list[np.ndarray], pa.Array]:
+    """(lines, lines that go, stretches that go, lines of the longest one) of each text, and the texts without the lines that are ``gone``; each text
+    ends in a line feed of its own. A line goes up to the next one's begin, a text's first line with all that stands before it."""
+    n_gone = np.append(0, np.cumsum(gone))
+    head, tail = (np.zeros(len(gone) + 1, bool) for _ in range(2))
+    head[at[:-1]] = tail[at[1:]] = True  # a text's first line; what follows its last one
+    run = np.flatnonzero(gone & (head[:-1] | ~np.append(False, gone)[:-1]))
+    last = np.flatnonzero(gone & (tail[1:] | ~np.append(gone, False)[1:])) + 1
+    size = n_gone[last] - n_gone[run]
+    runs = np.searchsorted(run, at)
+    longest = -segment_min(-size, runs, 0)
+    own = owners(runs)
+    lo = np.where(head[run], offs[own], begins[run])
+    hi = np.where(tail[last], offs[own + 1] - 1, np.append(begins, 0)[last])
+    kept = zip(np.sort(np.append(offs[:-1], hi)).tolist(), np.sort(np.append(lo, offs[1:] - 1)).tolist(), strict=True)
+    raw = memoryview(np.ascontiguousarray(data))
+    sizes = np.diff(offs) - 1 - np.diff(np.append(0, np.cumsum(hi - lo))[runs])
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    texts = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join([raw[i:j] for i, j in kept]))])
+    return [np.diff(at), np.diff(n_gone[at]), np.diff(runs), longest], texts
 
 
 _STATE = "doc long, place int, left int, id long, tag int, rank long, sub long, ties long, cover int"
@@ -52,14 +70,17 @@ _ORDER = ["rank", "sub", "next", "next_sub", "id", "tag", "place"]
 _END = -(1 << 63)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, place, left, id, tag, rank, words) of each line that isn't blank; left counts the lines from here on."""
+def _lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, place, left, id, tag, rank, words) of each line that isn't blank; left counts the lines from here on. Words are counted if some are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["text"]):
-                _, value, words, at = cut_lines(*byte_blob(b["text"][i:j], "\n"))
-                n = np.diff(at)
+                data, offs = byte_blob(b["text"][i:j], "\n")
+                _, starts, stops, at = cut_lines(data, offs)
+                value, n = span_hashes(data, starts, stops), np.diff(at)
+                begun = word_bounds(data)[0] if least_words > 0 else np.zeros(0, np.int64)
+                words = np.searchsorted(begun, stops) - np.searchsorted(begun, starts)
                 own = np.repeat(np.arange(j - i), n)
                 place = np.arange(len(value)) - np.repeat(at[:-1], n)
                 doc, key, tag = (b[c][i:j].take(pa.array(own)) for c in ("doc", "id", "tag"))
@@ -181,27 +202,20 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     shared_dir(df.sparkSession)
     docs = documents(df, id_col, text_col, carry).withColumn("tag", F.hash("text")).withColumn("doc", F.xxhash64("id", "text"))
     rest = [c for c in docs.columns if c == "rest"]
-    covers = suffix_ranks(_lines(docs), least_words).where("cover > 0").groupBy("doc").agg(F.collect_list(F.struct("place", "cover")).alias("marks"))
+    covers = suffix_ranks(_lines(docs, least_words), least_words).where("cover > 0").groupBy("doc").agg(F.collect_list(F.struct("place", "cover")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in chunks(b["text"]):
                 data, offs = byte_blob(b["text"][i:j], "\n")
-                starts, _, _, at = cut_lines(data, offs)
-                counts, texts = [], []
-                for k, marks in enumerate(b["marks"][i:j]):
-                    begin, end, lo, hi = offs[k], offs[k + 1] - 1, at[k], at[k + 1]
-                    drop = np.zeros(hi - lo + 1, np.int64)
-                    if marks.is_valid:
-                        place, cover = (marks.values.field(c).to_numpy() for c in ("place", "cover"))
-                        np.add.at(drop, place, 1)
-                        np.add.at(drop, place + cover, -1)
-                    gone = np.cumsum(drop)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                    counts.append((hi - lo, int(gone.sum()), len(edge) // 2, int(np.diff(edge)[::2].max(initial=0))))
-                    texts.append(keep_pieces(data, starts[lo:hi], gone, begin, end).decode() if hi > lo else data[begin:end].tobytes().decode())
-                columns = [pa.array([c[n] for c in counts], pa.int64()) for n in range(4)]
-                yield pa.RecordBatch.from_arrays([b["id"][i:j], *columns, pa.array(texts, pa.string()), *(b[c][i:j] for c in rest)], ["id", "lines", "removed", "runs", "longest", "text", *rest])
+                begins, _, _, at = cut_lines(data, offs)
+                marks = b["marks"][i:j]
+                pieces = marks.flatten()
+                first = np.repeat(at[:-1], pc.fill_null(pc.list_value_length(marks), 0).to_numpy()) + pieces.field("place").to_numpy()
+                stop = first + pieces.field("cover").to_numpy()
+                drop = np.bincount(first, minlength=len(begins) + 1) - np.bincount(stop, minlength=len(begins) + 1)
+                counts, texts = without_lines(data, offs, begins, at, np.cumsum(drop)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays([b["id"][i:j], *(pa.array(c, pa.int64()) for c in counts), texts, *(b[c][i:j] for c in rest)], ["id", "lines", "removed", "runs", "longest", "text", *rest])
 
     marked = docs.join(covers, "doc", "left").select("id", "text", "marks", *rest)
     out = marked.mapInArrow(run, "id long, lines long, removed long, runs long, longest long, text string" + "".join(f", rest {dict(docs.dtypes)[c]}" for c in rest))

@@ -166,13 +166,18 @@ def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def raw_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of raw bytes, ASCII letters in lower case; positions stay those of ``data``."""
-    lowered = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of raw bytes start and end."""
     inside = np.zeros(len(data) + 1, np.int8)
     inside[:-1] = _IS_WORD[data]
     edge = np.diff(inside, prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def raw_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of raw bytes, ASCII letters in lower case; positions stay those of ``data``."""
+    lowered = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    starts, ends = word_bounds(data)
     return starts, span_hashes(lowered, starts, ends)
 
 
