@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from factspark.llm import near
 from factspark.llm.frames import NO_ID, documents, public_id
 from factspark.llm.near import THRESHOLD
+from factspark.llm.packing import packed, unpacked
 from factspark.llm.text import chunks, mix, numbered, segment_min, shingle_hashes, shingles_of_words
 from factspark.session import partitions
 
@@ -110,8 +111,8 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``near_classes``; a null id has no class.
 
     Documents are dealt by ranges of id whose bounds come from quantiles of the ids alone, one range to a task; the first document of each range
-    is sent to the range before as well, so one exchange of the texts brings each document beside its successor. Null ids come first; of
-    rows with the same id the lesser text comes first.
+    is sent to the range before as well, so one exchange of the texts, compressed one by one, brings each document beside its successor. Null ids
+    come first; of rows with the same id the lesser text comes first.
     """
     spark = df.sparkSession
     docs = near.keyed(documents(df, id_col, text_col))
@@ -125,10 +126,10 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     before = {heads[p]: order[k - 1] for k, p in enumerate(order)}  # the first range's head goes behind the last
     goes = spark.createDataFrame([(h, p) for h, p in before.items()], "head long, goes int")  # as many rows as ranges
     extra = placed.join(F.broadcast(goes), F.col("id") == F.col("head")).select("id", "text", "key", F.col("goes").alias("part"))
-    dealt = placed.withColumn("last", F.lit(False)).unionByName(extra.withColumn("last", F.lit(True)))
+    dealt = packed(placed.withColumn("last", F.lit(False)).unionByName(extra.withColumn("last", F.lit(True))))
     # a document's class goes with it and comes before it, as its text is null
-    classes = near_classes(df, THRESHOLD, id_col, text_col).select("id", F.lit(None).cast("string").alias("text"), "key", part("id").alias("part"), F.lit(False).alias("last"), "class_id")
-    ordered = dealt.unionByName(classes, allowMissingColumns=True).repartitionById(n, "part").sortWithinPartitions("part", "last", "id", "text")
+    classes = near_classes(df, THRESHOLD, id_col, text_col).select("id", "key", part("id").alias("part"), F.lit(False).alias("last"), "class_id")
+    ordered = unpacked(dealt.unionByName(classes, allowMissingColumns=True).repartitionById(n, "part")).sortWithinPartitions("part", "last", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
