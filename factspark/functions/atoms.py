@@ -38,8 +38,9 @@ def row_of(term: Entity | Literal) -> tuple:
     return (ENTITY, term.id, None) if isinstance(term, Entity) else (LITERAL, None, term.text)
 
 
-def value_of(row) -> Entity | Literal | Predicate:
-    return Entity(row["ent"]) if row["tag"] == ENTITY else (Literal if row["tag"] == LITERAL else Predicate)(row["lit"])
+def value_of(row: tuple) -> Entity | Literal | Predicate:
+    """From a row of Spark, or a plain (tag, ent, lit)."""
+    return Entity(row[1]) if row[0] == ENTITY else (Literal if row[0] == LITERAL else Predicate)(row[2])
 
 
 def text_key(column: Column) -> Column:

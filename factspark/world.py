@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,21 @@ LOG = f"version long, rid long, kind string, slot string, s {ATOM}, p string, o
 DISPLAY, RESOLVES = Predicate("display_name"), Predicate("resolves_to")
 
 
+@cache
+def _kind(schema: str) -> StructType:
+    return _parse_datatype_string(schema)
+
+
+def table(rows: list[tuple], schema: str | StructType) -> pa.Table:
+    kind = schema if isinstance(schema, StructType) else _kind(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return pa.table([pa.array([dict(zip(f.dataType.names, x, strict=True)) if isinstance(f.dataType, StructType) and x is not None else x for x in c], to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], kind.names)
+
+
 def local(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """Rows of the driver as a local relation, which needs no job to read."""
-    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
-    table = pa.table([pa.array([dict(zip(f.dataType.names, x, strict=True)) if isinstance(f.dataType, StructType) and x is not None else x for x in c], to_arrow_type(f.dataType)) for c, f in zip(columns, kind, strict=True)], kind.names)
-    return spark.createDataFrame(table, kind).coalesce(1)  # one task, and what is done with it needs no exchange
+    kind = schema if isinstance(schema, StructType) else _kind(schema)
+    return spark.createDataFrame(table(rows, kind), kind).coalesce(1)  # one task, and what is done with it needs no exchange
 
 
 def op_row(version: int, rid: int, kind: str, slot: str, fact: Fact | None) -> tuple:
